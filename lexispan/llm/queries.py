@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, tokencount
+from . import licenses, packing, quality, sketch, tokencount
 from .common import table
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contract = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.measure_documents(table(spark, sf_dir, "documents")).select(*contract)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = tokencount.sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
@@ -27,11 +32,17 @@ def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_rules": op2_quality_rules,
         "op4_token_counts": op4_token_counts,
         "op5_license_scan": op5_license_scan,
         "op6_sequence_packing": op6_sequence_packing,
+        "op8_fingerprints": op8_fingerprints,
     }
 
 
