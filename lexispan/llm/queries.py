@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, quality, sketch, tokencount
+from . import chat, licenses, packing, quality, sketch, tokencount, warc
 from .common import table
 
 
@@ -36,6 +36,18 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_conversations(chat.event_log(rows)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
@@ -43,6 +55,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_license_scan": op5_license_scan,
         "op6_sequence_packing": op6_sequence_packing,
         "op8_fingerprints": op8_fingerprints,
+        "op9_warc_archives": op9_warc_archives,
+        "op10_chat_formatting": op10_chat_formatting,
     }
 
 
