@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, packing, quality, sketch, tokencount, warc
+from . import chat, licenses, minhash, packing, quality, sketch, tokencount, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure_documents(table(spark, sf_dir, "documents")).select(*contract)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=0.85)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = tokencount.sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
@@ -51,6 +55,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op3_near_duplicates": op3_near_duplicates,
         "op4_token_counts": op4_token_counts,
         "op5_license_scan": op5_license_scan,
         "op6_sequence_packing": op6_sequence_packing,
