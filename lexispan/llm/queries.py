@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, minhash, packing, quality, sketch, tokencount, warc
+from . import chat, licenses, minhash, mixing, packing, quality, sketch, tokencount, warc
 from .common import table
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     contract = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality.measure_documents(table(spark, sf_dir, "documents")).select(*contract)
@@ -54,6 +58,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_source_mixing": op1_source_mixing,
         "op2_quality_rules": op2_quality_rules,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_token_counts": op4_token_counts,
