@@ -214,3 +214,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     label = components(edges)
     named = signed.select("doc_id", "n_shingles").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
+    """docs without those that have a near-duplicate, direct or over others, with a smaller doc_id; rows without doc_id stay."""
+    gone = near_duplicates(docs, k, threshold).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, minhash, mixing, packing, quality, sketch, tokencount, warc
+from . import chat, licenses, minhash, mixing, packing, quality, sketch, suffixes, tokencount, warc
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op5_license_scan": op5_license_scan,
         "op6_sequence_packing": op6_sequence_packing,
+        "op7_repeated_strings": op7_repeated_strings,
         "op8_fingerprints": op8_fingerprints,
         "op9_warc_archives": op9_warc_archives,
         "op10_chat_formatting": op10_chat_formatting,
