@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import reading, service
+
 
 def queries() -> dict:
-    return {}
+    return {**reading.QUERIES, **service.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**reading.ORACLE, **service.ORACLE}
