@@ -17,14 +17,14 @@ def found(text: Column, pattern: str) -> Column:
 
 def sentences(text: Column) -> Column:
     """Stretches up to a full stop, question or exclamation mark or line end that hold a letter or digit."""
-    return F.filter(F.transform(found(text, SENTENCE), F.trim), lambda s: s.rlike(READER_WORD))
+    return F.filter(F.transform(found(text, SENTENCE), lambda s: F.trim(s)), lambda s: s.rlike(READER_WORD))
 
 
 def paragraphs(text: Column) -> Column:
     """Pieces between blank lines; where there is none, lines. Blank pieces are left out."""
     text = F.coalesce(text, F.lit(""))
     pieces = F.when(text.rlike(r"\n\s*\n"), F.split(text, r"\n\s*\n")).otherwise(F.split(text, "\n"))
-    return F.filter(F.transform(pieces, F.trim), lambda p: p != "")
+    return F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def white_words(text: Column) -> Column:

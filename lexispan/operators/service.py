@@ -21,7 +21,9 @@ def graded(events: DataFrame, most_wpm: float = 1200.0) -> DataFrame:
 
 def results_by_reader(events: DataFrame) -> DataFrame:
     by = graded(events).groupBy("user_id", "condition")
-    return by.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("wpm"), 1).alias("mean_wpm"))
+    # in whole tenths, so that the sum is exact in any order, and halves are rounded up
+    sums = by.agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("wpm") * 10).cast("long")).alias("tenths"))
+    return sums.select("user_id", "condition", "n", (F.expr("(2 * tenths + n) div (2 * n)") / 10.0).alias("mean_wpm"))
 
 
 def speed_verdicts(events: DataFrame) -> DataFrame:

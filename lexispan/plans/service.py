@@ -33,7 +33,7 @@ QUERIES = {name: _query(operator) for name, operator in _NAMES.items()}
 _GRADED = "WITH g AS (SELECT * FROM (SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN 'original' ELSE 'rewritten' END AS condition, round(value * 10, 1) AS wpm FROM events WHERE value > 0) WHERE wpm <= 1200)"
 
 ORACLE = {
-    "results_by_reader": f"{_GRADED} SELECT user_id, condition, count(*) AS n, round(avg(wpm), 1) AS mean_wpm FROM g GROUP BY ALL",
+    "results_by_reader": f"{_GRADED} SELECT user_id, condition, count(*) AS n, ((2 * sum(round(wpm * 10)::BIGINT)::BIGINT + count(*)) // (2 * count(*))) / 10.0::DOUBLE AS mean_wpm FROM g GROUP BY ALL",
     "speed_verdicts": f"""{_GRADED}, p AS (SELECT user_id, avg(wpm) FILTER (condition = 'original') AS o, avg(wpm) FILTER (condition = 'rewritten') AS r FROM g GROUP BY ALL),
  c AS (SELECT user_id, round((r - o) / o * 100)::BIGINT AS change FROM p WHERE o IS NOT NULL AND r IS NOT NULL)
  SELECT user_id, change, CASE WHEN abs(change) < 3 THEN 'same' WHEN change > 0 THEN 'faster' ELSE 'slower' END AS verdict FROM c""",

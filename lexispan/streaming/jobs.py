@@ -9,20 +9,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Event times with a zone, which watermarks need."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def daily_views(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Views of each path and day; a day is closed once events are `late` past it."""
     day = F.window("ts", "1 day")
-    counts = events.withWatermark("ts", late).groupBy(day.alias("w"), F.concat(F.lit("/"), "event_type").alias("path")).agg(F.count(F.lit(1)).alias("views"))
+    counts = _timed(events).withWatermark("ts", late).groupBy(day.alias("w"), F.concat(F.lit("/"), "event_type").alias("path")).agg(F.count(F.lit(1)).alias("views"))
     return counts.select(F.to_date("w.start").alias("day"), "path", "views")
 
 
 def once(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Events without those whose event_id came before, as long as it isn't older than the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return _timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def sliding_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
-    counts = events.withWatermark("ts", late).groupBy(F.window("ts", "7 days", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    counts = _timed(events).withWatermark("ts", late).groupBy(F.window("ts", "7 days", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
