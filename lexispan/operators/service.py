@@ -76,6 +76,13 @@ def assignments(events: DataFrame) -> DataFrame:
     return events.select("user_id").distinct().select("user_id", side.alias("rewritten_side"))
 
 
+def folded_feedback(events: DataFrame) -> DataFrame:
+    """user_id, triggers and safe words: the latest of error and click on each key of a user decides; errors trigger."""
+    key = F.get_json_object("props", "$.k")
+    latest = events.filter(F.col("event_type").isin("error", "click")).groupBy("user_id", key.alias("k")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
+    return latest.groupBy("user_id").agg(F.count_if(F.col("last") == "error").alias("triggers"), F.count_if(F.col("last") == "click").alias("safe"))
+
+
 def axis_scores(events: DataFrame) -> DataFrame:
     """Support scores of each user's values by type, on anchors taken from the task: accuracy and response time."""
     by = events.groupBy("user_id").agg(F.avg((F.col("value") > 50).cast("double")).alias("accuracy"), F.percentile("value", F.lit(0.5)).alias("median_value"))

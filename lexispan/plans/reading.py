@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from lexispan.functions import text as X
 from lexispan.operators import detectors as D
-from lexispan.operators import protect, style, tokens
+from lexispan.operators import protect, rewrite, style, tokens
 from lexispan.sources import pages as P
 
 QUOTA = 2000
 CHUNK_WORDS = 200
+#: Words of the invented prose are all frequent on a curated list's scale.
+ZIPF_SHIFT, RARE = 1.5, 5.0
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +25,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _triggers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    words, readers = _words(spark, sf_dir), D.profiles(spark)
+    words, readers = _words(spark, sf_dir), D.profiles(spark, ZIPF_SHIFT)
     rare = D.rare_words(words, tokens.zipf_table(words), readers)
     return rare.unionByName(D.long_words(words, readers)).unionByName(D.long_sentences(words, readers)), words, readers
 
@@ -91,6 +93,15 @@ def personal_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("profile", "doc_id").agg(F.count(F.lit(1)).alias("triggers"))
 
 
+def ranked_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrite.ranked_alternatives(tokens.zipf_table(_words(spark, sf_dir)), RARE)
+
+
+def substituted_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _words(spark, sf_dir)
+    return rewrite.substituted_sentences(_t(spark, sf_dir, "documents"), words, rewrite.ranked_alternatives(tokens.zipf_table(words), RARE))
+
+
 def protected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protect.protected_spans(_t(spark, sf_dir, "documents"))
 
@@ -144,7 +155,7 @@ _WORDS = (
 )
 _ZIPF = "zipf AS (SELECT lower, count(*) AS n, round(log10(count(*) / (SELECT count(*) FROM toks) * 1e9), 2) AS zipf FROM toks GROUP BY lower)"
 _PROFILES = "profiles(profile, max_s, min_z, max_w, w_rare, w_long, w_syntax) AS (VALUES " + ", ".join(
-    f"('{n}', {s}, {z}, {w}, {x['rare']}, {x['long']}, {x['syntax']})" for n, s, z, w, x in D.PROFILES
+    f"('{n}', {s}, {round(z + ZIPF_SHIFT, 2)}::DOUBLE, {w}, {x['rare']}, {x['long']}, {x['syntax']})" for n, s, z, w, x in D.PROFILES
 ) + ")"
 _TRIGGERS = f"""{_WORDS}, {_ZIPF}, {_PROFILES}, triggers AS (
  SELECT doc_id, profile, 'rare' AS kind, t.lower, least(1.0, (min_z - zipf) / 2 + 0.3) * w_rare AS weighted FROM toks t JOIN zipf z ON t.lower = z.lower, profiles WHERE zipf > 0 AND zipf < min_z
@@ -159,6 +170,8 @@ _PAIRS = """long AS (SELECT lower FROM zipf WHERE length(lower) >= 4),
  pairs AS (SELECT a.lower AS word, b.lower AS other FROM keys a JOIN keys b ON a.key = b.key AND a.i = b.i AND a.lower < b.lower
   UNION SELECT least(k.lower, w.lower), greatest(k.lower, w.lower) FROM keys k JOIN long w ON k.key = w.lower
   UNION SELECT k.lower, w.lower FROM keys k JOIN long w ON k.swap = w.lower AND k.lower < w.lower)"""
+_RANKED = """ranked AS (SELECT a.lower, b.lower AS alternative, row_number() OVER (PARTITION BY a.lower ORDER BY b.n DESC, b.lower) AS place FROM zipf a JOIN zipf b ON left(a.lower, 4) = left(b.lower, 4)
+ WHERE length(a.lower) >= 4 AND length(b.lower) >= 4 AND a.zipf < 5.0::DOUBLE AND length(b.lower) <= length(a.lower) AND b.zipf > a.zipf + 0.3::DOUBLE)"""
 _PARA = "list_filter(list_transform(CASE WHEN regexp_matches(coalesce(text,''), '\\n\\s*\\n') THEN regexp_split_to_array(coalesce(text,''), '\\n\\s*\\n') ELSE string_split(coalesce(text,''), chr(10)) END, lambda p: trim(p, ' ')), lambda p: p <> '')"
 _WHITE = "list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> '')"
 _POSTS = f"""WITH posts AS (SELECT conv_id AS author, text FROM conversations WHERE role = 'user'),
@@ -195,6 +208,11 @@ ORACLE = {
  FROM r WINDOW w AS (PARTITION BY doc_id, lower ORDER BY sent_index, tok_i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT doc_id, sent_index, tok_i, lower, role, p_sent FROM p WHERE sent_index - p_sent <= 3""",
     "personal_triggers": f"""{_WORDS}, psents AS (SELECT conv_id, unnest({_SENT}) AS sentence FROM conversations WHERE role = 'user'), pw AS (SELECT conv_id, lower(unnest(regexp_extract_all(sentence, '\\p{{L}}+'))) AS lower FROM psents),
  own AS (SELECT conv_id::VARCHAR AS reader, lower FROM pw GROUP BY ALL HAVING count(*) >= 5) SELECT reader AS profile, doc_id, count(*) AS triggers FROM toks JOIN own USING (lower) GROUP BY ALL""",
+    "ranked_alternatives": f"{_WORDS}, {_ZIPF}, {_RANKED} SELECT * FROM ranked WHERE place <= 3",
+    "substituted_sentences": f"""{_WORDS}, {_ZIPF}, {_RANKED}, p AS (SELECT t.doc_id, sent_index, tok_i, alternative, CASE WHEN alternative IS NULL THEN word WHEN regexp_matches(word, '^\\p{{Lu}}{{2,}}$') THEN upper(alternative)
+  WHEN regexp_matches(word, '^\\p{{Lu}}') THEN upper(left(alternative, 1)) || substr(alternative, 2) ELSE alternative END AS w
+  FROM toks t JOIN (SELECT doc_id FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[0-9]')) f ON f.doc_id = t.doc_id LEFT JOIN ranked r ON r.lower = t.lower AND r.place = 1)
+ SELECT doc_id, sent_index, count(alternative) AS changes, string_agg(w, ' ' ORDER BY tok_i) AS rewritten FROM p GROUP BY ALL HAVING count(alternative) > 0""",
     "protected_spans": " UNION ALL ".join(
         f"SELECT doc_id, '{k}' AS why, generate_subscripts(x, 1) - 1 AS place, unnest(x) AS span FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{p}') AS x FROM documents)" for k, p in protect.PROTECTED.items()
     ).replace("\\n", "\n").replace('\\"', '"'),
@@ -222,6 +240,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         zipf_table, unit_counts, chapter_chunks, quota_cut, load_by_document, top_flagged_words, triggers_by_kind, load_vs_quality, lookalike_pairs, soundalike_classes, near_pair_triggers,
-        ambiguity_triggers, personal_triggers, protected_spans, fidelity_gate, dedupe_keys, rewrite_costs, style_report, learned_profiles, sentence_starters, reader_vocabularies, article_texts, url_admission,
+        ambiguity_triggers, personal_triggers, ranked_alternatives, substituted_sentences, protected_spans, fidelity_gate, dedupe_keys, rewrite_costs, style_report, learned_profiles, sentence_starters, reader_vocabularies, article_texts, url_admission,
     )
 }

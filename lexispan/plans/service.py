@@ -15,6 +15,7 @@ _NAMES = {
     "latest_states": S.latest_states,
     "cache_retention": S.retained,
     "test_assignments": S.assignments,
+    "folded_feedback": S.folded_feedback,
     "axis_scores": S.axis_scores,
     "sliding_counts": S.sliding_counts,
     "reading_sessions": S.sessions,
@@ -46,6 +47,8 @@ ORACLE = {
     "cache_retention": """WITH k AS (SELECT user_id, event_type, max(ts) AS last_hit, count(*) AS hits FROM events GROUP BY ALL)
  SELECT * FROM k WHERE last_hit >= (SELECT max(ts) FROM events) - INTERVAL 20 DAY ORDER BY last_hit DESC NULLS LAST, user_id, event_type LIMIT 5000""",
     "test_assignments": "SELECT DISTINCT user_id, CASE WHEN left(md5(user_id::VARCHAR), 1) < '8' THEN 'first' ELSE 'second' END AS rewritten_side FROM events",
+    "folded_feedback": """WITH l AS (SELECT user_id, props->>'$.k' AS k, arg_max(event_type, {'ts': ts, 'id': event_id}) AS last FROM events WHERE event_type IN ('error', 'click') GROUP BY ALL)
+ SELECT user_id, count(*) FILTER (last = 'error') AS triggers, count(*) FILTER (last = 'click') AS safe FROM l GROUP BY user_id""",
     "axis_scores": """WITH a AS (SELECT user_id, avg((value > 50)::INT) AS acc, quantile_cont(value, 0.5) AS med FROM events GROUP BY user_id)
  SELECT user_id, round(least(greatest((acc - 1.0::DOUBLE) / (0.5::DOUBLE - 1.0::DOUBLE) * 100, 0), 100), 1) AS phonological, round(least(greatest((med - 25.0::DOUBLE) / (70.0::DOUBLE - 25.0::DOUBLE) * 100, 0), 100), 1) AS speed FROM a""",
     "sliding_counts": """SELECT time_bucket(INTERVAL 1 DAY, ts) - to_days(k::INT) AS window_start, event_type, count(*) AS n FROM events, range(0, 7) r(k) GROUP BY ALL""",
