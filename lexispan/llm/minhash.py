@@ -3,11 +3,12 @@
 Every document is the set of its word shingles, with a signature of minwise values. Documents with equal sets are
 one class from the start; the join works on a representative of each class. In every tree a node's documents go on
 to children by the minwise tokens that the node selects: one or two positions a step, 1 / threshold on average, so
-that a pair at the threshold keeps about one common path. After some steps, nodes of few documents are compared
-exhaustively. In a larger node all documents are compared with one of them, which is confirmed on full sets at
-once; a document takes over the label of what it is linked with, and the node is branched further only
-while it holds different labels. A group of near copies of any size so costs a number of comparisons in
-proportion to its size, and no link between different labels is skipped. Independent trees repeat this.
+that a pair at the threshold keeps about one common path. Small nodes are compared exhaustively: the pairs of the
+smallest are listed, those of up to some thousands of documents are compared inside a task, which gives out no
+more links than connect what links connect. In a larger node all documents are compared with one of them, take
+over the label of what they are linked with, and the node branches on while it holds different labels.
+Independent trees repeat this; a node whose documents are all connected already is left out, so that a group
+of near copies isn't compared again in every tree.
 
 Candidates must agree in enough minwise positions, then links are confirmed on full sets. Of a candidate graph
 first one pair for every document is confirmed; pairs inside components found so far need no confirmation.
@@ -20,9 +21,11 @@ any of its rows is linked with); rows with a null doc_id are left out; an empty
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +34,10 @@ from .common import written
 from .shingles import mixed, minwise, shingle_set, word_hashes
 
 SIGNATURE = 64
-TREES = 8
+ROUNDS = ((0, 1), (2, 3, 4, 5, 6, 7))  # trees; what a round connects is one label to the next
 STEPS = 3  # token choices between two looks at the nodes' sizes
-LEAF = 16  # documents that a node may have for exhaustive comparison
-MAX_LEVELS = 40
+LEAF = 16  # documents of a node whose pairs are listed
+NODE, WEIGHT = 3000, 6_000_000  # documents of a node, and shingles of them all, that one task compares exhaustively
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int) -> list[np.ndarray]:
@@ -58,14 +61,14 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
-def branch(rows: DataFrame, level: int, threshold: float) -> DataFrame:
-    """(node, rep, label) of the children of each row's node; at level 0 the rows are representatives, for all trees."""
-    schema = pa.schema([("node", pa.int64()), ("rep", pa.int64()), ("label", pa.int64())])
+def branch(rows: DataFrame, level: int, trees: tuple[int, ...], threshold: float) -> DataFrame:
+    """(node, rep, label, size) of the children of each row's node; at level 0 the rows are representatives, for all of the trees."""
+    schema = pa.schema([("node", pa.int64()), ("rep", pa.int64()), ("label", pa.int64()), ("size", pa.int64())])
     more = 1 / threshold - 1  # chance of a second position
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, label = batch.column("rep").to_numpy(), batch.column("label").to_numpy()
+            rep, label, size = (batch.column(c).to_numpy() for c in ("rep", "label", "size"))
             data = batch.column("signature").to_pylist()
             if not data:
                 continue
@@ -73,8 +76,8 @@ def branch(rows: DataFrame, level: int, threshold: float) -> DataFrame:
             if level:
                 index, path = np.arange(len(data)), batch.column("node").to_numpy().astype(np.uint64)
             else:
-                index = np.tile(np.arange(len(data)), TREES)
-                path = mixed(np.repeat(np.arange(1, TREES + 1, dtype=np.uint64), len(data)) * np.uint64(0x1000193))
+                index = np.tile(np.arange(len(data)), len(trees))
+                path = mixed(np.repeat(np.array(trees, np.uint64) + np.uint64(1), len(data)) * np.uint64(0x1000193))
             for step in range(STEPS):
                 draw = mixed(path + np.uint64(level * STEPS + step + 1))
                 first = (draw % np.uint64(SIGNATURE)).astype(np.int64)
@@ -82,9 +85,9 @@ def branch(rows: DataFrame, level: int, threshold: float) -> DataFrame:
                 both = (draw >> np.uint64(32)).astype(np.float64) < more * 2.0**32
                 index, path, at = np.r_[index, index[both]], np.r_[path, path[both]], np.r_[first, second[both]]
                 path = mixed(path ^ mixed((sign[index, at] << np.uint64(7)) + at.astype(np.uint64) + np.uint64(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(rep[index]), pa.array(label[index])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(rep[index]), pa.array(label[index]), pa.array(size[index])], schema=schema)
 
-    return rows.mapInArrow(run, "node long, rep long, label long")
+    return rows.mapInArrow(run, "node long, rep long, label long, size long")
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -155,30 +158,76 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
+def exhaustive(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Confirmed links (a < b) that connect what links connect inside each node (node, rep, label, signature, members).
+
+    Members that carry one label, or were connected before, aren't compared again, so near copies cost one row of
+    comparisons, and at most one link for each member leaves the node."""
+    percent, least = round(threshold * 100), SIGNATURE * threshold - 4 * (SIGNATURE * threshold * (1 - threshold)) ** 0.5
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep", ignore_index=True)
+        reps = rows["rep"].tolist()
+        sign = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, SIGNATURE)
+        sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
+        sizes = np.array([len(s) for s in sets])
+        _, apart = np.unique(rows["label"].to_numpy(), return_inverse=True)
+        out = []
+        for i in range(len(reps)):
+            others = np.flatnonzero(apart != apart[i])
+            others = others[(sign[others] == sign[i]).sum(axis=1) >= least]
+            if not len(others):
+                continue
+            flat = np.concatenate([sets[j] for j in others])
+            at = np.minimum(np.searchsorted(sets[i], flat), sizes[i] - 1)
+            both = np.add.reduceat(sets[i][at] == flat, np.cumsum([0, *sizes[others][:-1]]), dtype=np.int64)
+            for j in others[100 * both >= percent * (sizes[i] + sizes[others] - both)].tolist():
+                if apart[j] != apart[i]:
+                    out.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
+                    apart[apart == apart[j]] = apart[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return nodes.groupBy("node").applyInPandas(solve, "a long, b long")
+
+
 def links(docs: DataFrame, reps: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Confirmed links (a < b) that connect all representatives that links connect."""
-    rows, found, candidates, sets = reps.select("rep", F.col("rep").alias("label"), "signature"), [], [], None
-    for level in range(MAX_LEVELS):
-        nodes = written(branch(rows, level, threshold), "nodes")
-        stats = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("rep", F.struct("label", "rep")).alias("pivot"))
-        stats = stats.filter("n > 1 and low != high")
-        held = written(nodes.join(stats, "node"), "held")
+    """Confirmed links (a < b) that connect all representatives that links connect.
+
+    The first trees run by themselves: what they connect is one label to the trees that follow."""
+    found, start = [], reps.select("rep", F.col("rep").alias("label"), "signature", "size")
+    for trees in ROUNDS:
+        found = [written(_all(_grow(docs, reps, start, trees, k, threshold, found)), "links")]
+        label = components(found[0])
+        start = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label"), "signature", "size")
+    return found[0]
+
+
+def _grow(docs: DataFrame, reps: DataFrame, rows: DataFrame, trees: tuple[int, ...], k: int, threshold: float, found: list[DataFrame]) -> list[DataFrame]:
+    """found, and the links from these trees."""
+    found, candidates = list(found), []
+    for level in itertools.count():
+        nodes = written(branch(rows, level, trees, threshold), "nodes")
+        stats = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("rep", F.struct("label", "rep")).alias("pivot"))
+        held = written(nodes.join(stats.filter("n > 1 and low != high"), "node"), "held")
         small = held.filter(F.col("n") <= LEAF)
         left, right = small.select("node", F.col("rep").alias("a"), F.col("label").alias("la")), small.select("node", F.col("rep").alias("b"), F.col("label").alias("lb"))
         candidates.append(written(_agreeing(left.join(right, "node").filter("a < b and la != lb").select("a", "b").distinct(), reps, threshold), "pairs"))
-        large = held.filter(F.col("n") > LEAF)
+        beyond = held.filter(F.col("n") > LEAF)
+        if not beyond.limit(1).count():
+            break
+        sets = written(full_sets(docs, beyond.select("rep").distinct(), k), "sets")
+        fits = (F.col("n") <= NODE) & (F.col("weight") <= WEIGHT)
+        middle = beyond.filter(fits).select("node", "rep", "label").join(sets, "rep").join(reps.select("rep", "signature"), "rep")
+        found.append(written(exhaustive(middle, threshold), "stars"))
+        large = beyond.filter(~fits)
         if not large.limit(1).count():
             break
-        if sets is None:
-            sets = written(full_sets(docs, large.select("rep").distinct(), k), "sets")
+        # too many for one task: all against one of them, then on to the children, where labels still differ
         stars = large.filter("rep != pivot and label != high").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        near = written(confirmed(_agreeing(stars, reps, threshold), sets, threshold), "stars")
-        found.append(near)
-        # labels of what is linked so far, over all levels and trees
+        found.append(written(confirmed(_agreeing(stars, reps, threshold), sets, threshold), "stars"))
         linked = components(_all(found))
         large = large.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "label").alias("label"), "pivot")
-        # the pivot has been compared with all of its node: only the others go on
-        rows = large.filter("rep != pivot").select("node", "rep", "label").join(reps.select("rep", "signature"), "rep")
+        rows = large.filter("rep != pivot").select("node", "rep", "label").join(reps.select("rep", "signature", "size"), "rep")
     return _connect(docs, _all(candidates), found, k, threshold)
 
 
@@ -189,7 +238,7 @@ def _all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _connect(docs: DataFrame, pairs: DataFrame, found: list[DataFrame], k: int, threshold: float) -> DataFrame:
+def _connect(docs: DataFrame, pairs: DataFrame, found: list[DataFrame], k: int, threshold: float) -> list[DataFrame]:
     """found, and confirmed pairs as far as they join what is apart."""
     pairs = written(pairs.distinct(), "pairs")
     sets = written(full_sets(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), k), "sets")
@@ -199,17 +248,17 @@ def _connect(docs: DataFrame, pairs: DataFrame, found: list[DataFrame], k: int,
     la, lb = (label.select(F.col("id").alias(c), F.col("component").alias(f"l{c}")) for c in "ab")
     rest = pairs.join(best, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
     rest = rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    return _all([*found, written(confirmed(rest, sets, threshold), "stars")])
+    return [*found, written(confirmed(rest, sets, threshold), "stars")]
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, for each row of docs."""
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = written(signatures(texts, k), "signatures")
-    reps = written(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("signature").alias("signature")), "classes")
+    reps = written(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size")), "classes")
     # a doc_id may come with several texts: each class is named by a number of its own then
     member = signed.filter("digest is not null").select("doc_id", "digest").distinct().join(reps.select("digest", "first"), "digest")
-    near = links(texts, reps.groupBy(F.col("first").alias("rep")).agg(F.first("signature").alias("signature")), k, threshold)
+    near = links(texts, reps.groupBy(F.col("first").alias("rep")).agg(F.first("signature").alias("signature"), F.first("size").alias("size")), k, threshold)
     edges = near.union(member.filter("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     label = components(edges)
     named = signed.select("doc_id", "n_shingles").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
