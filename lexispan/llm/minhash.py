@@ -35,6 +35,7 @@ from .shingles import mixed, minwise, shingle_set, word_hashes
 
 SIGNATURE = 64
 ROUNDS = ((0, 1), (2, 3, 4, 5, 6, 7))  # trees; what a round connects is one label to the next
+BROADCAST_IDS = 1_000_000  # ids of 8 bytes that may be broadcast
 STEPS = 3  # token choices between two looks at the nodes' sizes
 LEAF = 16  # documents of a node whose pairs are listed
 NODE, WEIGHT = 3000, 6_000_000  # documents of a node, and shingles of them all, that one task compares exhaustively
@@ -118,8 +119,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in _sets(part, 1, k)], pa.binary())], schema=schema)
 
-    named = docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
-    return named.select("rep", "text").mapInArrow(run, "rep long, members binary")
+    # with few ids the texts stay where they are; with more, texts and ids are dealt by id
+    few = wanted.count() <= BROADCAST_IDS
+    named = docs.withColumnRenamed("doc_id", "rep").join(F.broadcast(wanted) if few else wanted, "rep", "left_semi")
+    return named.select("rep", "text").mapInArrow(run, "rep long, members binary").dropDuplicates(["rep"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
