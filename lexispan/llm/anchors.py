@@ -11,13 +11,14 @@ import numpy as np
 GRAM = 48
 _MULTIPLIER = 0xD1342543DE82EF95
 _INVERSE = pow(_MULTIPLIER, -1, 2**64)
-CHUNK = 1 << 19
+#: Bytes of text hashed at a time, and the most that can be.
+CHUNK, LONGEST = 1 << 19, 1 << 21
 _POSITION = np.uint64((1 << 20) - 1)
 _VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 def _powers(base: int) -> np.ndarray:
-    out = np.full(CHUNK + 4096, base, np.uint64)
+    out = np.full(LONGEST, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 

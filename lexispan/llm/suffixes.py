@@ -31,7 +31,7 @@ from .grouping import suffix_array
 
 LENGTH = 200
 #: Different cells of a gram that one task takes at most, and bytes of cells that are sorted together, about.
-HOT_CELLS = 400
+HOT_CELLS = 3000
 SHARD_BYTES = 160_000
 
 
