@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,13 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it isn't installed, as in a checkout that is not the working folder."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +39,7 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
 def written(df: DataFrame, kind: str = "table") -> DataFrame:
     """df as a table in the shared folder: cuts lineage and survives the loss of any executor."""
     spark = df.sparkSession
+    importable(spark)
     path = scratch_path(spark, kind)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
