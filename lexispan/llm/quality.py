@@ -1,10 +1,16 @@
 """Quality rules with DataFrame functions only: length, repetition and divergence from a language's histograms.
 
-A document's character-class histogram and its histogram of common words are compared with the summed
-histograms of all documents that carry the same language mark, by the Jensen-Shannon distance (the square root
-of the divergence in bits). Each comparison has a guard: documents with fewer characters or words than it needs
-to be reliable are not judged by it. References are sums over the whole table; they are aggregated on the map
-side to one row for each language and mark, whatever the size of a language.
+A document's character-class histogram and its histogram of common words are compared with a reference made of
+the documents that carry the same language mark, by the Jensen-Shannon distance (the square root of the
+divergence in bits). Each comparison has a guard: documents with fewer characters or words than it needs
+to be reliable are not judged by it.
+
+Volume does not move a reference. It is made of all documents of the language that pass the base rule and are near
+plain prose, a fixed histogram that any script can meet, and each of them counts once whatever its length. For
+characters it is the median share of every class, so that junk up to half of these documents does not decide it;
+for words it is the mean of the shares in those documents that are near that median. Both are integer counts of
+rounded shares, aggregated on the map side, whatever the size of a language. A language without such a document is
+held against plain prose itself.
 
 Defined results: null and empty texts have no words and fail the base rule (fewer than 20 words); texts are
 judged whole; repeated rows get equal verdicts; a null language is a language of its own; a null doc_id is
@@ -15,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WORD, text_or_empty, written
 
@@ -28,6 +35,11 @@ COMMON_WORDS = (
 #: Character classes, as patterns of one character; what none of them matches is the last class (fixed values).
 CLASSES = (r"[A-Z]", r"[0-9]", r"[.,;:!?'\"()\-]", r"[#*$%&|<>]", r"[^\x00-\x7F]")
 
+#: Plain prose in any script: shares of letters with all that isn't ASCII, digits, punctuation and symbols (fixed values).
+PROSE = (955, 10, 30, 5)
+SHARES = 10_000  # steps that shares are rounded to
+WORD_SHARES = 1_000_000
+
 WINDOW = 8
 
 
@@ -84,36 +96,66 @@ def base_measures(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
 def distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two count arrays of equal length; null where either is empty."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    share = lambda a: F.transform(a, lambda x: x / F.nullif(total(a), F.lit(0.0)))
+    # the total is a variable of the lambda, so it is added up once and not for every element
+    share = lambda a: F.get(F.transform(F.array(total(a)), lambda t: F.transform(a, lambda x: x / F.nullif(t, F.lit(0.0)))), 0)
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     terms = F.zip_with(share(p), share(q), lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+    divergence = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2
+    # greatest leaves nulls out, so an empty array would be at distance 0
+    return F.get(F.transform(F.array(divergence), lambda d: F.when(d.isNotNull(), F.sqrt(F.greatest(d, F.lit(0.0))))), 0)
+
+
+def prose_distance(classes: Column) -> Column:
+    """Distance of a character-class histogram to plain prose."""
+    upper, digits, marks, symbols, beyond, rest = (F.get(classes, F.lit(k)) for k in range(len(CLASSES) + 1))
+    return distance(F.array(upper + beyond + rest, digits, marks, symbols), F.array(*[F.lit(x).cast("long") for x in PROSE]))
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
 #: Languages whose references are broadcast, about 1 KB each; with more of them the join is shuffled.
 BROADCAST_LANGUAGES = 2048
 
 
-def references(measured: DataFrame) -> DataFrame:
-    """Summed histograms of every language, as a table."""
-    sums = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(k))) for k in range(n)])
-    by_lang = measured.groupBy(F.col("lang").alias("ref_lang"))
-    return written(by_lang.agg(sums("classes", len(CLASSES) + 1).alias("ref_classes"), sums("words", len(_words()) + 1).alias("ref_words")), "reference")
+def _beside(measured: DataFrame, reference: DataFrame) -> DataFrame:
+    if reference.count() <= BROADCAST_LANGUAGES:
+        reference = F.broadcast(reference)
+    return measured.join(reference, measured["lang"].eqNullSafe(reference["ref_lang"]), "left")
+
+
+def _median_classes(sound: DataFrame) -> DataFrame:
+    """ref_lang and ref_classes, the median share of every class over documents that count once each."""
+    shares = F.transform("classes", lambda x: F.floor(SHARES * x / F.col("word_chars") + 0.5))
+    counts = sound.select("lang", F.posexplode(shares).alias("at", "share")).groupBy("lang", "at", "share").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("lang", "at")
+    ranked = counts.select("*", F.sum("n").over(own).alias("all"), F.sum("n").over(own.orderBy("share")).alias("upto")).filter(2 * F.col("upto") >= F.col("all"))
+    medians = ranked.groupBy("lang", "at").agg(F.min("share").alias("share"))
+    return medians.groupBy(F.col("lang").alias("ref_lang")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "share"))), lambda c: c.share).alias("ref_classes"))
+
+
+def references(measured: DataFrame, char_limit: float = 0.30) -> DataFrame:
+    """ref_lang, ref_classes and ref_words of every language that has a document to make them of, as a table."""
+    sound = measured.filter(~base_failed() & (prose_distance(F.col("classes")) <= char_limit))
+    medians = written(_median_classes(sound), "medians")
+    near = _beside(sound, medians).filter(F.coalesce(distance(F.col("classes"), F.col("ref_classes")), F.lit(0.0)) <= char_limit)
+    share = lambda k: F.floor(WORD_SHARES * F.get("words", F.lit(k)) / F.col("n_words") + 0.5)
+    words = near.groupBy("lang").agg(F.array(*[F.sum(share(k)) for k in range(len(_words()) + 1)]).alias("ref_words"))
+    return written(medians.join(words, medians["ref_lang"].eqNullSafe(words["lang"]), "left").drop("lang"), "reference")
 
 
 def judge(
     measured: DataFrame, reference: DataFrame, char_limit: float = 0.30, word_limit: float = 0.50, min_chars: int = 200, min_words: int = 60
 ) -> DataFrame:
     """measured with base_failed, both distances and kept."""
-    if reference.count() <= BROADCAST_LANGUAGES:
-        reference = F.broadcast(reference)
-    joined = measured.join(reference, measured["lang"].eqNullSafe(reference["ref_lang"]), "left")
-    base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     far_chars = (F.col("word_chars") >= min_chars) & (F.coalesce(F.col("char_distance"), F.lit(0.0)) > char_limit)
     far_words = (F.col("n_words") >= min_words) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) > word_limit)
+    char_distance = F.coalesce(distance(F.col("classes"), F.col("ref_classes")), prose_distance(F.col("classes")))
     return (
-        joined.withColumns({"char_distance": distance(F.col("classes"), F.col("ref_classes")), "word_distance": distance(F.col("words"), F.col("ref_words"))})
-        .withColumn("base_failed", base_failed)
+        _beside(measured, reference)
+        .withColumns({"char_distance": char_distance, "word_distance": distance(F.col("words"), F.col("ref_words"))})
+        .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & ~far_chars & ~far_words)
         .drop("ref_lang", "ref_classes", "ref_words")
     )
@@ -128,7 +170,7 @@ def measure_documents(docs: DataFrame, **limits) -> DataFrame:
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows of docs that pass, with all their columns. The texts are read twice and never shuffled."""
     whole = docs.select("doc_id", "lang", "text", F.struct("*").alias("__row"))
-    reference = references(written(base_measures(docs).select("lang", "classes", "words"), "quality"))
+    reference = references(written(base_measures(docs).select("lang", "n_words", "n_repeat_words", "word_chars", "classes", "words"), "quality"))
     # the running number keeps the optimizer from copying the measures into the filter, which would compute them many times
     measured = base_measures(whole, ("__row",)).withColumn("__at", F.monotonically_increasing_id())
     return judge(measured, reference, **limits).filter("kept and __at >= 0").select("__row.*")

@@ -64,6 +64,18 @@ def test_quality_repeats_and_junk(spark):
     assert kept.columns == docs(spark, clean).columns and {r.doc_id for r in kept.collect()} == set(range(30))
 
 
+def test_quality_references_are_not_moved_by_junk(spark):
+    rng = random.Random(2)
+    symbols = lambda n: " ".join("".join(rng.choices("#$%&*|<>", k=rng.randint(3, 8))) for _ in range(n))
+    clean = [(i, words_of(rng, 120), g, "a") for g, ids in (("en", range(20)), (None, range(20, 40))) for i in ids]
+    third = [(100 + i, symbols(400) if i % 2 else words_of(rng, 120).upper(), g, "a") for g in ("en", None) for i in range(10)]
+    junk = [*third, (200, symbols(20_000), "en", "a"), (201, symbols(20_000), None, "a"), (202, symbols(150), "fr", "a"), *((i, symbols(150), "de", "a") for i in range(203, 208))]
+    alone = (300, words_of(rng, 120), "es", "a")
+    frame = docs(spark, [*clean, *junk, alone])
+    assert {r.doc_id for r in quality.measure_documents(frame).filter("kept").collect()} == {*range(40), 300}
+    assert {r.doc_id for r in quality.keep_good(frame).collect()} == {*range(40), 300}
+
+
 def test_near_duplicates(spark, rows):
     for k, threshold in ((3, 0.85), (5, 0.8)):
         got = {r.doc_id: r for r in minhash.near_duplicates(docs(spark, rows), k, threshold).collect()}
