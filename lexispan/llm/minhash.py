@@ -41,6 +41,10 @@ LEAF = 16  # documents of a node whose pairs are listed
 NODE, WEIGHT = 3000, 6_000_000  # documents of a node, and shingles of them all, that one task compares exhaustively
 
 
+def _digest(members: np.ndarray) -> bytes:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+
+
 def _sets(batch: pa.RecordBatch, column: int, k: int) -> list[np.ndarray]:
     return [shingle_set(w, k) for w in word_hashes([x.as_py() or b"" for x in batch.column(column)])]
 
@@ -55,7 +59,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 sets = _sets(part, 1, k)
                 full = [s for s in sets if len(s)]
                 rows = iter(minwise(full, SIGNATURE) if full else ())
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                digests = [_digest(s) if len(s) else None for s in sets]
                 marks = [next(rows).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(marks, pa.binary())], schema=schema)
 
@@ -110,19 +114,24 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, agree int")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """rep and the bytes of its full set, for the wanted representatives."""
-    schema = pa.schema([("rep", pa.int64()), ("members", pa.binary())])
+def full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """rep and the bytes of its full set, for the wanted representatives (reps tells the digest and a doc_id of each)."""
+    schema = pa.schema([("digest", pa.binary()), ("members", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in _sets(part, 1, k)], pa.binary())], schema=schema)
+                sets = [s for s in _sets(part, 0, k) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
     # with few ids the texts stay where they are; with more, texts and ids are dealt by id
-    few = wanted.count() <= BROADCAST_IDS
-    named = docs.withColumnRenamed("doc_id", "rep").join(F.broadcast(wanted) if few else wanted, "rep", "left_semi")
-    return named.select("rep", "text").mapInArrow(run, "rep long, members binary").dropDuplicates(["rep"])
+    named = written(wanted.join(reps.select("rep", "first", "digest"), "rep"), "wanted")
+    few = named.count() <= BROADCAST_IDS
+    ids = named.select(F.col("first").alias("doc_id")).distinct()
+    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
+    # a doc_id may come with several texts: the digest tells which of their sets is meant
+    sets = texts.mapInArrow(run, "digest binary, members binary").dropDuplicates(["digest"])
+    return sets.join(named.select("digest", "rep"), "digest").select("rep", "members")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -218,7 +227,7 @@ def _grow(docs: DataFrame, reps: DataFrame, rows: DataFrame, trees: tuple[int, .
         beyond = held.filter(F.col("n") > LEAF)
         if not beyond.limit(1).count():
             break
-        sets = written(full_sets(docs, beyond.select("rep").distinct(), k), "sets")
+        sets = written(full_sets(docs, reps, beyond.select("rep").distinct(), k), "sets")
         fits = (F.col("n") <= NODE) & (F.col("weight") <= WEIGHT)
         middle = beyond.filter(fits).select("node", "rep", "label").join(sets, "rep").join(reps.select("rep", "signature"), "rep")
         found.append(written(exhaustive(middle, threshold), "stars"))
@@ -231,7 +240,7 @@ def _grow(docs: DataFrame, reps: DataFrame, rows: DataFrame, trees: tuple[int, .
         linked = components(_all(found))
         large = large.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "label").alias("label"), "pivot")
         rows = large.filter("rep != pivot").select("node", "rep", "label").join(reps.select("rep", "signature", "size"), "rep")
-    return _connect(docs, _all(candidates), found, k, threshold)
+    return _connect(docs, reps, _all(candidates), found, k, threshold)
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
@@ -241,10 +250,10 @@ def _all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _connect(docs: DataFrame, pairs: DataFrame, found: list[DataFrame], k: int, threshold: float) -> list[DataFrame]:
+def _connect(docs: DataFrame, reps: DataFrame, pairs: DataFrame, found: list[DataFrame], k: int, threshold: float) -> list[DataFrame]:
     """found, and confirmed pairs as far as they join what is apart."""
     pairs = written(pairs.distinct(), "pairs")
-    sets = written(full_sets(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), k), "sets")
+    sets = written(full_sets(docs, reps, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), k), "sets")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
     found = [*found, written(confirmed(best, sets, threshold), "stars")]
     label = components(_all(found))
@@ -258,17 +267,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, for each row of docs."""
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = written(signatures(texts, k), "signatures")
-    reps = written(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size")), "classes")
-    # a doc_id may come with several texts: each class is named by a number of its own then
+    classes = signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size"))
+    # a doc_id may come with several texts, so a class has a number of its own; its order is that of (first, digest) in every run
+    reps = written(classes.orderBy("first", "digest").withColumn("rep", F.monotonically_increasing_id()), "classes")
     member = signed.filter("digest is not null").select("doc_id", "digest").distinct().join(reps.select("digest", "first"), "digest")
-    near = links(texts, reps.groupBy(F.col("first").alias("rep")).agg(F.first("signature").alias("signature"), F.first("size").alias("size")), k, threshold)
-    edges = near.union(member.filter("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+    first = reps.select("rep", "first")
+    near = links(texts, reps, k, threshold).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").filter("x != y").select("x", "y")
+    edges = near.union(member.filter("doc_id != first").select("first", "doc_id")).toDF("a", "b")
     label = components(edges)
     named = signed.select("doc_id", "n_shingles").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs without those that have a near-duplicate, direct or over others, with a smaller doc_id; rows without doc_id stay."""
-    gone = near_duplicates(docs, k, threshold).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """One row of each group of near-duplicate rows: the one with the smallest doc_id, rows without doc_id last.
+
+    Rows are told apart by a number, so that copies under one doc_id or without any go, and another text under a
+    doc_id that is used again stays. Rows with an empty set stay."""
+    rows = written(docs.withColumn("__at", F.monotonically_increasing_id()), "rows")
+    label = near_duplicates(rows.select(F.col("__at").alias("doc_id"), "text"), k, threshold).select(F.col("doc_id").alias("__at"), "component_id")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "__at")
+    best = rows.select("__at", F.col("doc_id").cast("long").alias("id")).join(label, "__at").groupBy("component_id").agg(F.min(order).alias("o"))
+    return rows.join(best.select(F.col("o.__at").alias("__at")), "__at", "left_semi").drop("__at")

@@ -95,6 +95,24 @@ def test_near_duplicates(spark, rows):
         assert all(got[i].n_shingles == len(sets[i]) and got[i].kept == (names[i] == i) for i in sets)
 
 
+def test_near_duplicates_of_a_doc_id_with_several_texts(spark):
+    rng = random.Random(12)
+    texts = [words_of(rng, 100) for _ in range(6)]
+    near = [t + " end" for t in texts]
+    frame = docs(spark, [*((0, t, "en", "a") for t in texts), *((10 + i, t, "en", "a") for i, t in enumerate(near)), (30, words_of(rng, 100), "en", "a")])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame, 3, 0.85).collect()}
+    assert got == {**{i: 0 for i in (0, *range(10, 16))}, 30: 30}
+
+
+def test_one_row_of_near_duplicates_stays(spark):
+    rng = random.Random(13)
+    a, b, c, d = (words_of(rng, 100) for _ in range(4))
+    frame = docs(spark, [(i, t, "en", "s") for i, t in ((5, a), (5, a), (3, a + " end"), (7, b), (7, b), (7, c), (None, d), (None, d), (None, c), (None, None))])
+    got = minhash.drop_near_duplicates(frame)
+    assert got.columns == frame.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(3, a + " end"), (7, b), (7, c), (None, d), (None, None)])
+
+
 def test_near_duplicates_in_large_nodes(spark, monkeypatch):
     """Many near copies around a text, with nodes of every kind: listed, inside a task, and branched on."""
     rng = random.Random(9)
