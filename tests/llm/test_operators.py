@@ -76,6 +76,16 @@ def test_quality_references_are_not_moved_by_junk(spark):
     assert {r.doc_id for r in quality.keep_good(frame).collect()} == {*range(40), 300}
 
 
+def test_quality_words_of_another_language_and_gibberish_go(spark):
+    rng = random.Random(3)
+    own = [line.split() for line in quality.COMMON_WORDS]
+    text = lambda k: " ".join(rng.choice(own[k]) if rng.random() < 0.4 else words_of(rng, 1) for _ in range(300))
+    clean = [(i, text(0 if i % 2 == 0 else 2), ("en", "de")[i % 2], "a") for i in range(40)]
+    odd = [*((100 + i, text(2), "en", "a") for i in range(6)), (200, text(0), "de", "a"), (201, " ".join(f"{w}q" for w in words_of(rng, 300).split()), "en", "a")]
+    unlisted = [(300 + i, " ".join(f"{w}q" for w in words_of(rng, 200).split()), "xx", "a") for i in range(4)]
+    assert {r.doc_id for r in quality.keep_good(docs(spark, [*clean, *odd, *unlisted])).collect()} == {*range(40), *range(300, 304)}
+
+
 def test_near_duplicates(spark, rows):
     for k, threshold in ((3, 0.85), (5, 0.8)):
         got = {r.doc_id: r for r in minhash.near_duplicates(docs(spark, rows), k, threshold).collect()}
