@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 
 #: Characters after which a part of a long conversation is passed on.
 PART_CHARS = 1_000_000
@@ -88,7 +88,7 @@ def fold_events(events: DataFrame) -> DataFrame:
             yield _batch([(key[0], first, key[1], *fold(own))], schema)
 
     dealt = events.select(*names).repartition("conv_id", "message_id").sortWithinPartitions("conv_id", "message_id", F.col("seq").asc_nulls_last(), "step")
-    return dealt.mapInArrow(run, "conv_id long, seq long, message_id string, role string, text string")
+    return mapped(dealt, run, "conv_id long, seq long, message_id string, role string, text string")
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -123,7 +123,7 @@ def render_messages(messages: DataFrame) -> DataFrame:
 
     # the text itself orders turns that share a place, a message_id those that share the text too
     dealt = messages.repartition("conv_id").sortWithinPartitions("conv_id", F.col("seq").asc_nulls_last(), "role", "text", "message_id")
-    return dealt.select("conv_id", "role", "text").mapInArrow(run, "conv_id long, part int, formatted string, loss_mask array<struct<start:long,end:long>>")
+    return mapped(dealt.select("conv_id", "role", "text"), run, "conv_id long, part int, formatted string, loss_mask array<struct<start:long,end:long>>")
 
 
 def parse(formatted: str) -> Iterator[tuple[str, str]]:
@@ -166,7 +166,7 @@ def digests(rendered: DataFrame) -> DataFrame:
             yield _batch([close()], schema)
 
     dealt = rendered.select("conv_id", "part", "formatted", "loss_mask").repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return mapped(dealt, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def event_log(rows: DataFrame, delta_chars: int = 256) -> DataFrame:

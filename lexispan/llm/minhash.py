@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 from .shingles import mixed, minwise, shingle_set, word_hashes
 
 SIGNATURE = 64
@@ -63,7 +63,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 marks = [next(rows).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(marks, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+    return mapped(docs, run, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
 def branch(rows: DataFrame, level: int, trees: tuple[int, ...], threshold: float) -> DataFrame:
@@ -92,7 +92,7 @@ def branch(rows: DataFrame, level: int, trees: tuple[int, ...], threshold: float
                 path = mixed(path ^ mixed((sign[index, at] << np.uint64(7)) + at.astype(np.uint64) + np.uint64(1)))
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(rep[index]), pa.array(label[index]), pa.array(size[index])], schema=schema)
 
-    return rows.mapInArrow(run, "node long, rep long, label long, size long")
+    return mapped(rows, run, "node long, rep long, label long, size long")
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -111,7 +111,7 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 
     left = reps.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
     right = reps.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, agree int")
+    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a long, b long, agree int")
 
 
 def full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -130,7 +130,7 @@ def full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, k: int) -> Da
     ids = named.select(F.col("first").alias("doc_id")).distinct()
     texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
     # a doc_id may come with several texts: the digest tells which of their sets is meant
-    sets = texts.mapInArrow(run, "digest binary, members binary").dropDuplicates(["digest"])
+    sets = mapped(texts, run, "digest binary, members binary").dropDuplicates(["digest"])
     return sets.join(named.select("digest", "rep"), "digest").select("rep", "members")
 
 
@@ -150,7 +150,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], schema=schema)
 
     left, right = (sets.select(F.col("rep").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
+    return mapped(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ma", "mb"), run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, text_or_empty, written
+from .common import WORD, mapped, text_or_empty, written
 
 SHARD_ROWS = 4000
 TOLERANCE = 1e-9
@@ -122,7 +122,7 @@ def rounded(dealt: DataFrame, most: float) -> DataFrame:
             taken = pa.array([c * s for c, s in zip(copies, size.to_pylist(), strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, batch.column("source_size"), batch.column("target"), taken, n, batch.column("text_hash")], schema=schema)
 
-    return dealt.mapInArrow(run, "doc_id long, size long, source_size long, target double, taken long, copies long, text_hash long")
+    return mapped(dealt, run, "doc_id long, size long, source_size long, target double, taken long, copies long, text_hash long")
 
 
 def take_mixed(docs: DataFrame, **mixing) -> DataFrame:

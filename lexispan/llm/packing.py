@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 #: Split pattern of byte-level BPE tokenizers (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_WORDS = 400_000
@@ -179,7 +181,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: dict[str, int], room: int, end
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
 
-    return docs.mapInArrow(pieces, PIECES + ", ids array<int>" * with_ids)
+    return mapped(docs, pieces, PIECES + ", ids array<int>" * with_ids)
 
 
 def pack_documents(

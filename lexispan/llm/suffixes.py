@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Hashes, cells
-from .common import written
+from .common import mapped, written
 from .grouping import suffix_array
 
 LENGTH = 200
@@ -50,7 +50,7 @@ def anchored(texts: DataFrame, length: int) -> DataFrame:
                 lo, hi, gram, cell = (np.concatenate(c) for c in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(cell.view(np.int64))], schema=schema)
 
-    return texts.mapInArrow(run, "key long, lo int, hi int, gram long, cell long")
+    return mapped(texts, run, "key long, lo int, hi int, gram long, cell long")
 
 
 def fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -72,7 +72,7 @@ def fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("gram", "lo", "hi", "single", "hot")).alias("cells"))
-    return texts.join(lists, "key").select("key", "text", "cells").mapInArrow(run, "gram long, window long, key long, lo int, hi int, single boolean, data binary")
+    return mapped(texts.join(lists, "key").select("key", "text", "cells"), run, "gram long, window long, key long, lo int, hi int, single boolean, data binary")
 
 
 def repeated_windows(parts: list[bytes], windows: list[int], length: int) -> np.ndarray:
@@ -137,7 +137,7 @@ def sorted_shards(held: DataFrame, length: int) -> DataFrame:
             yield solve(rows)
 
     dealt = held.select("gram", "key", "lo", "single", "data").repartition("gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(run, "key long, lo int, hi int")
+    return mapped(dealt, run, "key long, lo int, hi int")
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, hot_cells: int = HOT_CELLS) -> DataFrame:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words kept per worker; the cache is emptied beyond that.
@@ -125,4 +127,4 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], id_column
             )
 
     narrow = docs.select(F.col(id_column).cast("long").alias(id_column), F.col(text_column).cast("string").alias(text_column))
-    return narrow.mapInArrow(count, f"{id_column} long, n_tokens long, score double")
+    return mapped(narrow, count, f"{id_column} long, n_tokens long, score double")

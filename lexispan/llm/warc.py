@@ -1,47 +1,47 @@
 """WARC archives with revisit records, and a merged capture index.
 
-Pages become WARC/1.1 records. Of pages with equal payloads the one with the smallest page_id is a response, the
-others are revisits that refer to it; payloads shorter than a bound are always responses. Digests are grouped in a
-narrow table (id and digest), so a payload that a third of all pages share moves once per page at most and never
-gathers in a task. Records are sorted by URL key and time inside every task and written as text with the record
-separator as line separator, gzipped, by Spark's own writer: each file is one locally sorted run of captures.
-
-Reading takes the files back as binary rows, cuts them by Content-Length, and checks every payload's digest. The
-index entries are then range-partitioned by (URL key, time, id); in each range the runs' slices are merged by a
-loser tree, which gives capture histories in global order.
-
-Defined results: a null html is an empty payload; a null url has no target and an empty key; rows that share page_id and payload
-with a response are responses as well; a null page_id never is referred to; empty tables give empty archives; other columns are ignored.
+Pages become WARC/1.1 records, one gzip member each, so that every record can be fetched by its offset in the
+file. Of pages with equal payloads the one with the smallest page_id is a response, the others are revisits that refer
+to it; payloads shorter than a bound are always responses. Digests are grouped in a narrow table (digest, page_id,
+rows), so payloads never gather in a task; a digest that very many rows share is joined by broadcast. Records are
+sorted by URL key and time inside every task and collected to files of a bounded number of bytes, each of them one
+locally sorted run of captures that begins with a warcinfo record. Spark's text writer puts the files down as they
+are (a row is a file, its closing line separator a zero byte, which gzip takes for padding), so a lost
+task leaves nothing behind.
+
+Reading opens the members of every file one after the other and checks lengths and digests. The index entries
+are then range-partitioned by (URL key, time, id). In each range the runs keep the order they have in their files,
+and a loser tree merges them, which gives capture histories in global order.
+
+Defined results: a null html is an empty payload; a null url has no target and an empty key; rows that share page_id
+and payload with a response are responses as well; a null page_id never is referred to; records of rows that repeat
+page_id and payload, or have no page_id, have ids of their own, and revisits name such a response by page and date only;
+empty tables give empty archives; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import mapped, scratch_path, written
 
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Records in one archive file, and index entries that one merging task takes, about.
-FILE_RECORDS = 1000
+#: Bytes of an archive file, but for a last record that is larger, and index entries that one merging task takes, about.
+FILE_BYTES = 8 << 20
 MERGE_ROWS = 100_000
-HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-
-
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1 digest: every five hexadecimal digits are four letters."""
-    digest = F.sha1(data)
-    letters = []
-    for k in range(8):
-        value = F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
-        letters += [F.substring(F.lit(ALPHABET), F.shiftright(value, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*letters)
+#: Rows (about 40 bytes each) that may be broadcast, and rows from which on a digest is a hot one.
+BROADCAST_ROWS, HOT_ROWS = 500_000, 10_000
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+START = 1704067200  # pages have no capture time: it is this many seconds, and page_id
 
 
 def url_key(url: Column) -> Column:
@@ -52,59 +52,120 @@ def url_key(url: Column) -> Column:
     return F.when(url.isNull(), F.lit("")).when(host == "", F.lower(url)).otherwise(key)
 
 
+def _captured_at(page_id: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(F.lit(START) + F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def captures(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, payload_digest, payload_bytes, first_id, record_type, captured_at."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    firsts = rows.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"))
-    known = rows.select("page_id", "payload_digest").distinct().join(firsts, "payload_digest")
-    known = known.select(F.col("page_id").alias("k_id"), F.col("payload_digest").alias("k_digest"), "first_id")
-    joined = rows.join(known, rows["page_id"].eqNullSafe(known["k_id"]) & (rows["payload_digest"] == known["k_digest"]), "left").drop("k_id", "k_digest")
-    own = (F.col("payload_bytes") < min_revisit_bytes) | F.col("first_id").isNull() | F.col("first_id").eqNullSafe(F.col("page_id"))
-    when = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return joined.withColumn("record_type", F.when(own, "response").otherwise("revisit")).withColumn("captured_at", when)
-
-
-def write_archives(rows: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    """Gzipped archives under path; every file is sorted by URL key and time."""
-    line = lambda name, value: F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")))
-    text = lambda c: F.col(c).cast("string")
-    revisit = F.col("record_type") == "revisit"
-    body = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("payload")))
-    record = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(text("page_id"), F.lit("none")), F.lit(">"))),
-        line("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:page:"), text("first_id"), F.lit(">")))),
-        line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20]", "%20")),
-        line("WARC-Date", F.col("captured_at")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        line("X-Payload-Length", text("payload_bytes")),
-        line("X-URL-Key", F.regexp_replace(url_key(F.col("url")), r"[\x00-\x1F]", "%20")),
-        F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "),
-        F.octet_length(body).cast("string"),
-        F.lit("\r\n\r\n"),
-        body,
+    """page_id, url, payload (bytes), digest (20 bytes), first_id (null for responses), repeated and first_repeated."""
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
+    held = rows.select("digest", "page_id", F.octet_length("payload").alias("size"))
+    ids = written(held.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")), "digests")
+    firsts = ids.groupBy("digest").agg(F.min_by(F.struct("page_id", "n"), "page_id").alias("first"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("pages"))
+    firsts = written(firsts.filter("all > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.n").alias("first_n"), "pages"), "firsts")
+    # a hot digest's rows stay where they are: there are few such digests, whatever the number of rows
+    bound = max(HOT_ROWS, ids.count() // HOT_ROWS)
+    hot = firsts.filter(F.col("pages") > bound)
+    marked = ids.join(F.broadcast(hot), "digest").unionByName(ids.join(firsts.filter(F.col("pages") <= bound), "digest"))
+    revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id")) & (F.col("size") >= min_revisit_bytes)
+    repeated = (F.col("n") > 1) | F.col("page_id").isNull()
+    own = marked.filter(revisit | repeated).select(
+        F.col("digest").alias("k_digest"), F.col("page_id").alias("k_id"), F.when(revisit, F.col("first_id")).alias("first_id"), repeated.alias("repeated"), (F.col("first_n") > 1).alias("first_repeated")
     )
-    sorted_runs = rows.sortWithinPartitions(url_key(F.col("url")), "captured_at", "page_id")
-    writer = sorted_runs.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
-    writer.option("maxRecordsPerFile", file_records).text(path)
-
-
-def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of every record of an archive file."""
-    at = 0
-    while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:head].decode().split("\r\n")
-        if version != "WARC/1.1":
-            raise ValueError(f"no record at byte {at}")
-        headers = dict(x.split(": ", 1) for x in lines)
-        end = head + 4 + int(headers["Content-Length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where its length says")
-        yield at, headers, data[head + 4 : end]
-        at = end + 4
+    own = written(own, "revisits")
+    known = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
+    joined = rows.join(known, rows["page_id"].eqNullSafe(own["k_id"]) & (rows["digest"] == own["k_digest"]), "left").drop("k_id", "k_digest")
+    alone = F.col("page_id").isNull()  # such a row with a digest of its own is in no table
+    return joined.withColumns({"repeated": F.coalesce("repeated", alone), "first_repeated": F.coalesce("first_repeated", F.lit(False))})
+
+
+def _urn(digest: bytes, page_id: object, *more: int) -> str:
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.blake2b(repr((digest, page_id, *more)).encode(), digest_size=16).digest())}>"
+
+
+def _member(headers: list[tuple[str, object]], block: bytes) -> bytes:
+    head = "".join(f"{name}: {value}\r\n" for name, value in headers if value is not None)
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    data = f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode()
+    return packer.compress(data) + packer.compress(block) + packer.compress(b"\r\n\r\n") + packer.flush()
+
+
+def _record(row: dict, task: int, number: int) -> bytes:
+    digest, first = base64.b32encode(row["digest"]).decode(), row["first_id"]
+    revisit = first is not None
+    headers = [
+        ("WARC-Type", "revisit" if revisit else "response"),
+        ("WARC-Record-ID", _urn(row["digest"], row["page_id"], *((task, number) if row["repeated"] else ()))),
+        ("WARC-Refers-To", _urn(row["digest"], first) if revisit and not row["first_repeated"] else None),
+        ("WARC-Refers-To-Date", row["first_at"] if revisit else None),
+        ("WARC-Profile", PROFILE if revisit else None),
+        ("WARC-Target-URI", row["target"]),
+        ("WARC-Date", row["captured_at"]),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("X-Payload-Length", len(row["payload"])),
+        ("X-Page", row["page_id"]),
+        ("X-Refers-To-Page", first),
+        ("X-URL-Key", row["url_key"]),
+        ("Content-Type", "application/http; msgtype=response"),
+    ]
+    return _member(headers, HTTP if revisit else HTTP + row["payload"])
+
+
+def write_archives(rows: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Archives under path; every file is sorted by URL key, time and page_id, equal ones in any order."""
+    names = ["page_id", "payload", "digest", "first_id", "repeated", "first_repeated", "first_at", "target", "captured_at", "url_key"]
+    schema = pa.schema([("file", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, members, size = TaskContext.get().partitionId(), 0, [], 0
+        about = lambda: _member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", _urn(b"", None, task, number)), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+        for batch in batches:
+            columns = {n: batch.column(n) for n in names}
+            for k in range(batch.num_rows):
+                if not members:
+                    members.append(about())
+                members.append(_record({n: c[k].as_py() for n, c in columns.items()}, task, number))
+                number, size = number + 1, size + len(members[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], schema=schema)
+                    members, size = [], 0
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], schema=schema)
+
+    keyed = rows.withColumns(
+        {
+            "url_key": F.regexp_replace(url_key(F.col("url")), r"[\x00-\x1F]", "%20"),
+            "target": F.regexp_replace("url", r"[\x00-\x20]", "%20"),
+            "captured_at": _captured_at(F.col("page_id")),
+            "first_at": _captured_at(F.col("first_id")),
+        }
+    )
+    files = mapped(keyed.sortWithinPartitions("url_key", "captured_at", "page_id").select(*names), run, "file binary")
+    files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+
+
+def members(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of every gzip member of a file; closing zero bytes are padding."""
+    at, view = 0, memoryview(data)
+    while at < len(data) and data[at]:
+        opened = zlib.decompressobj(31)
+        content = opened.decompress(view[at:])
+        if not opened.eof:
+            raise ValueError(f"the gzip member at byte {at} is cut off")
+        yield at, content
+        at = len(data) - len(opened.unused_data)
+
+
+def parsed(record: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of a record."""
+    head = record.index(b"\r\n\r\n")
+    version, *lines = record[:head].decode().split("\r\n")
+    headers = dict(x.split(": ", 1) for x in lines)
+    block = record[head + 4 : -4]
+    if version != "WARC/1.1" or record[-4:] != b"\r\n\r\n" or len(block) != int(headers["Content-Length"]):
+        raise ValueError(f"not a record of the length that it names: {lines[:2]}")
+    return headers, block
 
 
 _ENTRY = pa.schema(
@@ -114,31 +175,29 @@ _ENTRY = pa.schema(
 ENTRY = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured_at string, run string, place long"
 
 
-def _id(urn: str | None) -> int | None:
-    value = urn[len("<urn:page:") : -1] if urn else "none"
-    return None if value == "none" else int(value)
-
-
-def read_archives(spark, path: str) -> DataFrame:
-    """An index entry for every record; run is its file and place its offset there."""
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """An index entry for every record; run is its file and place the offset of its gzip member there."""
+    number = lambda x: None if x is None else int(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = []
-                for at, head, block in records(zlib.decompress(content.as_py(), 31)):
-                    payload = block[len(HTTP) :]
+            for k in range(batch.num_rows):
+                name, rows = batch.column(0)[k].as_py(), []
+                for at, content in members(batch.column(1)[k].as_py()):
+                    head, block = parsed(content)
+                    if head["WARC-Type"] == "warcinfo":
+                        continue
                     digest, size = head["WARC-Payload-Digest"][5:], int(head["X-Payload-Length"])
                     if head["WARC-Type"] == "response":
-                        found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        if (found, len(payload)) != (digest, size):
+                        payload = memoryview(block)[len(HTTP) :]
+                        if (base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)) != (digest, size):
                             raise ValueError(f"{name}, byte {at}: the payload is not what its header says")
-                    rows.append((_id(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], _id(head.get("WARC-Refers-To")), head.get("X-URL-Key", ""), head["WARC-Date"], name, at))
+                    rows.append((number(head.get("X-Page")), size, digest, head["WARC-Type"], number(head.get("X-Refers-To-Page")), head.get("X-URL-Key", ""), head["WARC-Date"], name, at))
                 columns = list(zip(*rows, strict=True)) if rows else [()] * len(_ENTRY)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _ENTRY.types, strict=True)], schema=_ENTRY)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("path", "content")
-    return files.mapInArrow(run, ENTRY)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    return mapped(files, run, ENTRY)
 
 
 class LoserTree:
@@ -176,29 +235,29 @@ class LoserTree:
 
 
 def merge_index(entries: DataFrame, n_rows: int, merge_rows: int = MERGE_ROWS) -> DataFrame:
-    """entries in global order of (url_key, captured_at, page_id): by partition, and inside each of them."""
-    names = [f.name for f in _ENTRY]
-    key = [names.index(c) for c in ("url_key", "captured_at", "page_id")]
+    """entries in global order of (url_key, captured_at, page_id): by partition, and inside each of them.
+
+    A task holds its range as one Arrow table; runs are slices of it in file order, ascending already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[str, list] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sort = tuple(-1 if row[k] is None else row[k] for k in key)
-                slices.setdefault(row[7], []).append((sort, row[8], row))
-        merged = [row for _, _, row in LoserTree([iter(s) for s in slices.values()])]
-        for at in range(0, len(merged), 10_000):
-            columns = zip(*merged[at : at + 10_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _ENTRY.types, strict=True)], schema=_ENTRY)
+        held = pa.Table.from_batches(batches, _ENTRY).combine_chunks()
+        if not held.num_rows:
+            return
+        keys = [(u, t, -1 if i is None else i) for u, t, i in zip(*(held.column(c).to_pylist() for c in ("url_key", "captured_at", "page_id")), strict=True)]
+        names = held.column("run").to_pylist()
+        starts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+        slices = [iter([(keys[k], k) for k in range(a, b)]) for a, b in zip(starts, starts[1:], strict=False)]
+        order = pa.array([k for _, k in LoserTree(slices)], pa.int64())
+        yield from held.take(order).to_batches(10_000)
 
     parts = max(1, -(-n_rows // merge_rows), min(n_rows // 2000, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = entries.repartitionByRange(parts, "url_key", "captured_at", "page_id").sortWithinPartitions("run", "url_key", "captured_at", "page_id", "place")
-    return dealt.mapInArrow(run, ENTRY)
+    # rows of a run come together again, in the order of their file
+    dealt = entries.repartitionByRange(parts, "url_key", "captured_at", "page_id").sortWithinPartitions("run", "place")
+    return mapped(dealt, run, ENTRY)
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, min_revisit_bytes: int = 0) -> DataFrame:
     """Writes the archives under path (a new one in the shared folder by default) and gives the merged index of what they hold."""
-
     path = path or scratch_path(pages.sparkSession, "warc")
     write_archives(captures(pages, min_revisit_bytes), path)
     index = written(read_archives(pages.sparkSession, path), "cdx")
