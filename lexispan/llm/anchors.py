@@ -73,3 +73,9 @@ def cells(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def first_anchor(data: bytes, length: int) -> int:
+    """Place of the first window's anchor."""
+    grams = Hashes(data[:length]).every(GRAM)
+    return int(((grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)).argmin())

@@ -74,5 +74,21 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a key from which on it is a hot one, unless they are many; so many hot keys there are at most.
+HOT_ROWS, HOT_KEYS = 2_000, 100_000
+
+
+def joined_by_count(left: DataFrame, counted: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """left joined with counted, a table of unique keys that tells in n how many rows of left each of them has.
+
+    Keys of very many rows are broadcast, so that their rows stay where they are; by the bound there can only be some."""
+    total, most = counted.agg(F.sum(n), F.max(n)).first()
+    bound = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= bound:
+        return left.join(counted, on)
+    hot = F.col(n) > bound
+    return left.join(F.broadcast(counted.filter(hot)), on).unionByName(left.join(counted.filter(~hot), on))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

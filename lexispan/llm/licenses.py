@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -76,7 +77,7 @@ def _compiled(notices) -> list[_Notice]:
         cuts = [len(text) * i // (edits + 1) for i in range(edits + 2)]
         seeds = tuple((a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))
         # word-bounded: the match starts and ends at a blank of the normalised string
-        pattern = regex.compile(rb"(?<= )(?:%s){e<=%d}(?= )" % (regex.escape(words).encode(), edits), regex.BESTMATCH)
+        pattern = regex.compile(rb"(?<= )(?:%s){e<=%d}(?= )" % (regex.escape(words).encode(), edits), regex.ENHANCEMATCH)
         out.append(_Notice(label, text, edits, seeds, pattern))
     return out
 
@@ -105,23 +106,32 @@ def normalised(text: bytes | None) -> bytes:
     return b" %s " % b" ".join(words) if words else b" "
 
 
-def exact_places(norm: bytes, phrases: dict[str, str]) -> list[tuple[int, str, int]]:
+def blanks(norm: bytes) -> np.ndarray:
+    """Places of the blanks of normalised words: how many lie before a place is a binary search."""
+    return np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
+
+
+def exact_places(norm: bytes, phrases: dict[str, str], gaps: np.ndarray) -> list[tuple[int, str, int]]:
+    """(word, label, words) of every place of a phrase."""
     found = []
     for phrase, label in phrases.items():
         needle = b" %s " % phrase.encode()
         at = norm.find(needle)
         while at >= 0:
-            found.append((norm.count(b" ", 0, at), label, phrase.count(" ") + 1))
+            found.append((int(np.searchsorted(gaps, at)), label, phrase.count(" ") + 1))
             at = norm.find(needle, at + 1)
     return found
 
 
-def fuzzy_spans(norm: bytes, notices: list[_Notice]) -> list[tuple]:
+def fuzzy_spans(norm: bytes, notices: list[_Notice], gaps: np.ndarray) -> list[tuple]:
+    """(label, first word, word after the last, edits, match, length) of matches from left to right.
+
+    A match is the first within the bound, improved where it stands; the search goes on behind it."""
     found = []
     for notice in notices:
         for a, b in _windows(norm, notice):
             for m in notice.pattern.finditer(norm, a, b):
-                start = norm.count(b" ", 0, m.start()) - 1
+                start = int(np.searchsorted(gaps, m.start())) - 1
                 words = m.group().count(b" ") + 1
                 found.append((notice.label, start, start + words, sum(m.fuzzy_counts), m.group().decode(errors="replace"), len(notice.text)))
     return found
@@ -137,8 +147,9 @@ def scan_notices(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices=NOT
             ids = batch.column(0).to_pylist()
             for k, doc_id in enumerate(ids):
                 norm = normalised(batch.column(1)[k].as_py())
-                places = exact_places(norm, phrases)
-                fuzzy = fuzzy_spans(norm, compiled)
+                gaps = blanks(norm)
+                places = exact_places(norm, phrases, gaps)
+                fuzzy = fuzzy_spans(norm, compiled, gaps)
                 starts = [p[0] for p in places]
                 base = sorted({p[1] for p in places})
                 score = max([1.0] * bool(places) + [1 - f[3] / f[5] for f in fuzzy], default=0.0)

@@ -5,8 +5,9 @@ one class from the start; the join works on a representative of each class. In e
 to children by the minwise tokens that the node selects: one or two positions a step, 1 / threshold on average, so
 that a pair at the threshold keeps about one common path. Small nodes are compared exhaustively: the pairs of the
 smallest are listed, those of up to some thousands of documents are compared inside a task, which gives out no
-more links than connect what links connect. In a larger node all documents are compared with one of them, take
-over the label of what they are linked with, and the node branches on while it holds different labels.
+more links than connect what links connect, and larger ones in blocks, a task for every two of them. In a node
+of more blocks than is sensible all documents are compared with one of them, take over the label of what they are
+linked with, and the node branches on while it holds different labels.
 Independent trees repeat this; a node whose documents are all connected already is left out, so that a group
 of near copies isn't compared again in every tree.
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, written
+from .common import discard, joined_by_count, mapped, written
 from .shingles import mixed, minwise, shingle_set, word_hashes
 
 SIGNATURE = 64
@@ -39,6 +40,7 @@ BROADCAST_IDS = 1_000_000  # ids of 8 bytes that may be broadcast
 STEPS = 3  # token choices between two looks at the nodes' sizes
 LEAF = 16  # documents of a node whose pairs are listed
 NODE, WEIGHT = 3000, 6_000_000  # documents of a node, and shingles of them all, that one task compares exhaustively
+BLOCKS = 40  # blocks of half as many that a larger node is compared in; one of more branches on
 
 
 def _digest(members: np.ndarray) -> bytes:
@@ -154,26 +156,40 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id and component (the smallest id reachable) of every end of a link, by hooking and pointer jumping."""
+    """id and component (the smallest id reachable) of every end of a link, by hooking and pointer jumping.
+
+    Nodes of very many links and labels of very many nodes are joined by broadcast, see joined_by_count."""
     both = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "links")
+    degree = written(both.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "degrees")
     state = written(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("id"), F.min("v")).alias("component")), "labels")
     while True:
-        near = both.join(state.select(F.col("id").alias("v"), F.col("component").alias("c")), "v").groupBy(F.col("u").alias("id")).agg(F.min("c").alias("c"))
-        hooked = state.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "c").alias("new"))
-        # what a label's own node was given counts for all that carry the label, and the label's label is followed
-        given = hooked.groupBy(F.col("old").alias("label")).agg(F.min("new").alias("given"))
-        jumped = hooked.join(given, hooked["old"] == given["label"]).select("id", "old", F.least("new", "given").alias("new"))
-        jumped = jumped.join(state.select(F.col("id").alias("to"), F.col("component").alias("far")), F.col("new") == F.col("to"), "left")
-        jumped = written(jumped.select("id", "old", F.least("new", F.coalesce("far", "new")).alias("new")), "labels")
-        state = jumped.select("id", F.col("new").alias("component"))
-        if not jumped.filter("old != new").limit(1).count():
+        known = degree.join(state.withColumnRenamed("id", "v"), "v")
+        near = joined_by_count(both, known, ["v"]).groupBy(F.col("u").alias("id")).agg(F.min("component").alias("c"))
+        # what any node of a label is next to counts for all that carry it, and so does the label of that
+        given = state.join(near, "id").groupBy(F.col("component").alias("label")).agg(F.min("c").alias("given"), F.count(F.lit(1)).alias("n"))
+        far = given.join(state.select(F.col("id").alias("given"), F.col("component").alias("far")), "given", "left")
+        moves = written(far.select("label", "n", F.least("label", "given", F.coalesce("far", "given")).alias("to")), "moves")
+        if not moves.filter("to != label").limit(1).count():
+            discard(both, degree, moves)
             return state
+        moved = joined_by_count(state.withColumnRenamed("component", "label"), moves, ["label"]).select("id", F.col("to").alias("component"))
+        before, state = state, written(moved, "labels")
+        discard(before, moves)
+
+
+def in_blocks(nodes: DataFrame) -> DataFrame:
+    """The rows of nodes (with n and weight) once for every two blocks that are compared: node, low, high, block and the rest."""
+    blocks = F.greatest(F.ceil(2 * F.col("n") / NODE), F.ceil(2 * F.col("weight") / WEIGHT), F.lit(1)).cast("int")
+    alone = (F.col("n") <= NODE) & (F.col("weight") <= WEIGHT)
+    dealt = nodes.withColumn("blocks", F.when(alone, 1).otherwise(blocks)).withColumn("block", F.pmod(F.xxhash64("node", "rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks", "n", "weight")
 
 
 def exhaustive(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Confirmed links (a < b) that connect what links connect inside each node (node, rep, label, signature, members).
+    """Confirmed links (a < b) that connect what links connect inside each node (node, low, high, block, rep, label, signature, members).
 
-    Members that carry one label, or were connected before, aren't compared again, so near copies cost one row of
+    Rows of different blocks are compared, and all where there is one block. Members that carry one label, or were connected before, aren't compared again, so near copies cost one row of
     comparisons, and at most one link for each member leaves the node."""
     percent, least = round(threshold * 100), SIGNATURE * threshold - 4 * (SIGNATURE * threshold * (1 - threshold)) ** 0.5
 
@@ -184,9 +200,10 @@ def exhaustive(nodes: DataFrame, threshold: float) -> DataFrame:
         sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
         sizes = np.array([len(s) for s in sets])
         _, apart = np.unique(rows["label"].to_numpy(), return_inverse=True)
-        out = []
+        block, out = rows["block"].to_numpy(), []
+        across = rows["low"].iat[0] != rows["high"].iat[0]
         for i in range(len(reps)):
-            others = np.flatnonzero(apart != apart[i])
+            others = np.flatnonzero((apart != apart[i]) & (block != block[i]) if across else apart != apart[i])
             others = others[(sign[others] == sign[i]).sum(axis=1) >= least]
             if not len(others):
                 continue
@@ -199,7 +216,7 @@ def exhaustive(nodes: DataFrame, threshold: float) -> DataFrame:
                     apart[apart == apart[j]] = apart[i]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return nodes.groupBy("node").applyInPandas(solve, "a long, b long")
+    return nodes.groupBy("node", "low", "high").applyInPandas(solve, "a long, b long")
 
 
 def links(docs: DataFrame, reps: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -228,13 +245,13 @@ def _grow(docs: DataFrame, reps: DataFrame, rows: DataFrame, trees: tuple[int, .
         if not beyond.limit(1).count():
             break
         sets = written(full_sets(docs, reps, beyond.select("rep").distinct(), k), "sets")
-        fits = (F.col("n") <= NODE) & (F.col("weight") <= WEIGHT)
-        middle = beyond.filter(fits).select("node", "rep", "label").join(sets, "rep").join(reps.select("rep", "signature"), "rep")
-        found.append(written(exhaustive(middle, threshold), "stars"))
+        fits = (2 * F.col("n") <= BLOCKS * NODE) & (2 * F.col("weight") <= BLOCKS * WEIGHT)
+        middle = beyond.filter(fits).select("node", "rep", "label", "n", "weight").join(sets, "rep").join(reps.select("rep", "signature"), "rep")
+        found.append(written(exhaustive(in_blocks(middle), threshold), "stars"))
         large = beyond.filter(~fits)
         if not large.limit(1).count():
             break
-        # too many for one task: all against one of them, then on to the children, where labels still differ
+        # too many blocks: all against one of them, then on to the children, where labels still differ
         stars = large.filter("rep != pivot and label != high").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
         found.append(written(confirmed(_agreeing(stars, reps, threshold), sets, threshold), "stars"))
         linked = components(_all(found))
@@ -267,13 +284,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, for each row of docs."""
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = written(signatures(texts, k), "signatures")
-    classes = signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size"))
+    classes = signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("n"))
     # a doc_id may come with several texts, so a class has a number of its own; its order is that of (first, digest) in every run
     reps = written(classes.orderBy("first", "digest").withColumn("rep", F.monotonically_increasing_id()), "classes")
-    member = signed.filter("digest is not null").select("doc_id", "digest").distinct().join(reps.select("digest", "first"), "digest")
+    member = joined_by_count(signed.filter("digest is not null").select("doc_id", "digest"), reps.select("digest", "first", "n"), ["digest"])
     first = reps.select("rep", "first")
     near = links(texts, reps, k, threshold).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").filter("x != y").select("x", "y")
-    edges = near.union(member.filter("doc_id != first").select("first", "doc_id")).toDF("a", "b")
+    edges = near.union(member.filter("doc_id != first").select("first", "doc_id").distinct()).toDF("a", "b")
     label = components(edges)
     named = signed.select("doc_id", "n_shingles").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -28,7 +28,7 @@ from .common import WORD, mapped, text_or_empty, written
 
 SHARD_ROWS = 4000
 TOLERANCE = 1e-9
-MAX_STEPS = 60
+MAX_STEPS = 200
 
 
 def size_in_words(text: Column) -> Column:
@@ -83,8 +83,8 @@ def tilts(sizes: DataFrame, goals: DataFrame, most: float = 2.0) -> DataFrame:
         )
         state = written(new, "tilts")
         if not state.filter("not done").limit(1).count():
-            break
-    return state.select("source", "tilt", "scale")
+            return state.select("source", "tilt", "scale")
+    raise ValueError(f"no tilt within {MAX_STEPS} steps for some source")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total_share: float = 1.5, most: float = 2.0) -> DataFrame:

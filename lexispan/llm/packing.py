@@ -9,7 +9,7 @@ document and number, and every group packs on its own, so that no task sees more
 gaps. Sequences that remain with room are offered again, as wholes, to each other by the same rule.
 
 Defined results: a null text is empty and takes one place (the end id); texts are tokenised whole; repeated
-rows are packed once each, told apart by a running number among equal rows; null ids are kept as null; an empty
+rows are packed once each; a special token's string in a text is that token, as the tokenizers library has it; null ids are kept as null; an empty
 table gives no pieces; other columns are ignored.
 """
 
@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import mapped, written
 
 #: Split pattern of byte-level BPE tokenizers (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Special tokens whose strings are looked for in texts (fixed value).
+SPECIAL = ("<|endoftext|>",)
 CACHE_WORDS = 400_000
 _HARD = re.compile(r"\s (?!\S)")
 
@@ -55,8 +57,9 @@ class Encoder(dict):
 
         super().__init__()
         letters = _byte_letters()
-        special = {i for piece, i in vocabulary.items() if piece == "<|endoftext|>"}
-        ranks = {bytes(letters[c] for c in piece): i for piece, i in vocabulary.items() if i not in special and all(c in letters for c in piece)}
+        self.special = {piece: array("I", [vocabulary[piece]]).tobytes() for piece in SPECIAL if piece in vocabulary}
+        self.cut_at = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        ranks = {bytes(letters[c] for c in piece): i for piece, i in vocabulary.items() if piece not in self.special and all(c in letters for c in piece)}
         self.core = tiktoken.Encoding("pieces", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.leads = np.zeros(max(ranks.values()) + 1, bool)
         self.leads[[i for piece, i in ranks.items() if piece[:1] == b" "]] = True
@@ -64,10 +67,12 @@ class Encoder(dict):
     @staticmethod
     def vocabulary(path: str) -> dict[str, int]:
         with open(path, encoding="utf-8") as f:
-            return json.load(f)["model"]["vocab"]
+            data = json.load(f)
+        return data["model"]["vocab"] | {t["content"]: t["id"] for t in data["added_tokens"]}
 
     def ids(self, text: str) -> bytes:
-        return array("I", self.core.encode_ordinary(text)).tobytes()
+        parts = self.cut_at.split(text) if self.cut_at else [text]
+        return b"".join(self.special[p] if k % 2 else array("I", self.core.encode_ordinary(p)).tobytes() for k, p in enumerate(parts) if p)
 
     def __missing__(self, word: str) -> bytes:
         out = self.ids(" " + word)
@@ -94,7 +99,7 @@ class Encoder(dict):
             to, size = at, 0
             while to < len(texts) and size < chars:
                 size, to = size + len(texts[to]), to + 1
-            split = [None if _HARD.search(t) else t.split(" ") for t in texts[at:to]]
+            split = [None if _HARD.search(t) or (self.cut_at and self.cut_at.search(t)) else t.split(" ") for t in texts[at:to]]
             self.learn({w for words in split if words for w in words[1:]})
             for text, words in zip(texts[at:to], split, strict=True):
                 if words is None:
@@ -138,12 +143,12 @@ def sum_of_squares(lengths: np.ndarray, room: int) -> np.ndarray:
     return out
 
 
-def pack(lengths: np.ndarray, room: int, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of every piece: longest first, then sequences with room are merged as wholes."""
+def pack(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of every piece: longest first (equal ones in the given order), then sequences with room are merged as wholes while that saves any."""
     order = np.argsort(-lengths, kind="stable")
     where = np.empty(len(lengths), np.int64)
     where[order] = sum_of_squares(lengths[order], room)
-    for _ in range(rounds):
+    while True:
         fill = np.bincount(where, lengths, minlength=0).astype(np.int64)
         by_fill = np.argsort(-fill, kind="stable")
         merged = np.empty(len(fill), np.int64)
@@ -159,25 +164,26 @@ def pack(lengths: np.ndarray, room: int, rounds: int = 4) -> tuple[np.ndarray, n
     return where, offset
 
 
-PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, copy long, serial long, piece int, start long, length long, ids_crc32 long"
 
 
 def tokenised_pieces(docs: DataFrame, vocabulary: dict[str, int], room: int, end_id: int, with_ids: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    fields = [("doc_id", pa.int64()), ("copy", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    fields = [("doc_id", pa.int64()), ("copy", pa.int64()), ("serial", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     arrow = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        end = np.array([end_id], "<u4").tobytes()
+        end, serial = np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
             cols: list[list] = [[] for _ in arrow]
             texts = encoder.encode_all([x.as_py() or "" for x in batch.column(2)])
             for doc_id, copy, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
                 ids += end
+                serial += 1  # tells equal rows of a task apart
                 for k, (start, length) in enumerate(cut(len(ids) // 4, room)):
                     own = ids[4 * start : 4 * (start + length)]
-                    for col, x in zip(cols, (doc_id, copy, k, start, length, zlib.crc32(own), np.frombuffer(own, "<i4") if with_ids else None), strict=False):
+                    for col, x in zip(cols, (doc_id, copy, serial, k, start, length, zlib.crc32(own), np.frombuffer(own, "<i4") if with_ids else None), strict=False):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
 
@@ -192,17 +198,16 @@ def pack_documents(
     copy numbers the rows with the same doc_id where docs has a column of that name; else it is 0 for all, and
     equal rows still become separate pieces.
     """
-    n = docs.count()
-    groups = max(1, -(-n // group_pieces))
     copy = F.col("copy").cast("long") if "copy" in docs.columns else F.lit(0).cast("long")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), copy.alias("copy"), F.col("text").cast("string").alias("text"))
-    pieces = tokenised_pieces(narrow, vocabulary, room, end_id, with_ids)
+    pieces = written(tokenised_pieces(narrow, vocabulary, room, end_id, with_ids), "pieces")
+    groups = max(1, -(-pieces.count() // group_pieces))
     schema = f"{PIECES}{', ids array<int>' * with_ids}, sequence_id long, offset long"
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="group").sort_values(["doc_id", "copy", "piece", "ids_crc32"], kind="stable", ignore_index=True)
+        rows = rows.drop(columns="group").sort_values(["doc_id", "copy", "piece", "ids_crc32", "serial"], kind="stable", ignore_index=True)
         where, offset = pack(rows["length"].to_numpy(), room)
         return rows.assign(sequence_id=where + (int(key[0]) << 32), offset=offset)
 
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "copy", "piece", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(place, schema)
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "copy", "piece", "ids_crc32", "serial"), F.lit(groups)))
+    return dealt.groupBy("group").applyInPandas(place, schema).drop("serial")

@@ -200,9 +200,8 @@ def measure_documents(docs: DataFrame, **limits) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, shape_limit: float = SHAPE_LIMIT, **limits) -> DataFrame:
-    """The rows of docs that pass, with all their columns. The texts are read twice and never shuffled."""
+    """The rows of docs that pass, with all their columns. The texts are measured once: rows and measures are written together."""
     whole = docs.select("doc_id", "lang", "text", F.struct("*").alias("__row"))
-    reference = references(written(base_measures(docs).select("lang", "n_words", "n_repeat_words", "word_chars", "classes", "words"), "quality"), shape_limit=shape_limit)
-    # the running number keeps the optimizer from copying the measures into the filter, which would compute them many times
-    measured = base_measures(whole, ("__row",)).withColumn("__at", F.monotonically_increasing_id())
-    return judge(measured, reference, shape_limit=shape_limit, **limits).filter("kept and __at >= 0").select("__row.*")
+    measured = written(base_measures(whole, ("__row",)), "quality")
+    reference = references(measured.drop("__row"), shape_limit=shape_limit)
+    return judge(measured, reference, shape_limit=shape_limit, **limits).filter("kept").select("__row.*")

@@ -31,8 +31,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digest = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    return licenses.scan_notices(table(spark, sf_dir, "documents")).select(*digest)
+    return licenses.scan_notices(table(spark, sf_dir, "documents"))
 
 
 def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """Document fingerprints with DataFrame functions only: every shingle hash below a fixed fraction of the range.
 
 The fraction is the same for all documents, so sketches of unequal documents can be merged and compared: the
-share of one sketch's hashes found in another estimates how much of the first document the second contains.
+share of one sketch's hashes found in another estimates how much of the first document the second contains. With n
+shingles and a share p the estimate's standard error is sqrt(p (1 - p) * scale / n); a text that retains nothing, as
+happens to most of fewer than `scale` shingles, is like no other but an equal one. Sketches of groups of documents
+(merged) are tables of (group, hash), so a group of any size stays spread over tasks.
 A text of fewer words than a shingle takes is one shingle. A fingerprint is the digest of the text, a colon and
-the retained hashes in order, 16 hexadecimal digits each; texts that retain nothing are told apart by the digest.
+the retained hashes in order, their first 8 hexadecimal digits each, that is about one character for each word;
+texts that retain nothing are told apart by the digest.
 
 The next document is found without a global sort: bounds taken from quantiles of doc_id deal documents to
 buckets, and the document at each bound is also sent to the bucket before it, so that one shuffle brings every
@@ -24,7 +28,7 @@ from .common import WORD, text_or_empty
 
 SHINGLE = 5
 #: One hash of so many is retained.
-SCALE = 4
+SCALE = 8
 #: Buckets at most; their bounds are all that reaches the driver.
 MAX_BUCKETS = 4096
 
@@ -33,12 +37,12 @@ def hashes(words: Column, scale: int = SCALE, shingle: int = SHINGLE) -> Column:
     """The sorted distinct shingle hashes below 1 / scale of the 64-bit range."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (shingle - 1), F.lit(1)))
     every = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(shingle))))
-    limit = -(2**63) + 2**64 // scale
-    return F.when(F.size(words) > 0, F.array_sort(F.array_distinct(F.filter(every, lambda h: h < F.lit(limit).cast("long"))))).otherwise(F.array().cast("array<bigint>"))
+    limit = -(2**63) + 2**64 // scale - 1
+    return F.when(F.size(words) > 0, F.array_sort(F.array_distinct(F.filter(every, lambda h: h <= F.lit(limit).cast("long"))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def fingerprint(text: Column, sketch: Column) -> Column:
-    hexed = F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0"))
+    hexed = F.transform(sketch, lambda h: F.substring(F.lpad(F.lower(F.hex(h)), 16, "0"), 1, 8))
     return F.concat(F.lpad(F.lower(F.hex(F.xxhash64(text))), 16, "0"), F.lit(":"), F.array_join(hexed, ""))
 
 
@@ -47,6 +51,24 @@ def containment(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.nullif(F.size(a), F.lit(0))
 
 
+def sketches(docs: DataFrame, by: list[str], scale: int = SCALE, shingle: int = SHINGLE) -> DataFrame:
+    """The columns `by` and the sketch of every row of docs."""
+    words = F.regexp_extract_all(text_or_empty(), F.lit(WORD), F.lit(0))
+    return docs.select(*by, words.alias("w")).select(*by, hashes(F.col("w"), scale, shingle).alias("sketch"))
+
+
+def merged(sketched: DataFrame, by: list[str]) -> DataFrame:
+    """The union of the sketches of every group as rows (by, hash); merging merged tables is a union and a distinct."""
+    return sketched.select(*by, F.explode("sketch").alias("hash")).distinct()
+
+
+def contained(sketched: DataFrame, id_column: str, collection: DataFrame) -> DataFrame:
+    """id, retained hashes and the share of them in a merged collection (a table with the column hash); null where nothing is retained."""
+    known = collection.select("hash").distinct().withColumn("known", F.lit(1))
+    rows = sketched.select(id_column, F.explode_outer("sketch").alias("hash")).join(known, "hash", "left")
+    return rows.groupBy(id_column).agg(F.count("hash").alias("retained"), (F.count("known") / F.nullif(F.count("hash"), F.lit(0))).alias("share"))
+
+
 def bucket_bounds(docs: DataFrame, buckets: int) -> list[int]:
     """Ascending doc_ids of docs, the smallest first, that cut it into at most so many parts of about equal size."""
     key = F.col("doc_id").cast("long")

@@ -2,15 +2,19 @@
 
 Texts are UTF-8 bytes, matches never cross documents. Each window of `length` bytes belongs to a content-defined
 anchor (anchors.py), so equal windows meet under one gram wherever they are, and the corpus falls into small
-independent parts. Under a gram, cells (all windows of one anchor) that are equal as a whole are counted first: where a
-cell comes twice, all its windows do. What is left are cells that share their gram with different ones, as at the
-edges of copied passages. One of each different cell is fetched; many grams' cells are put together, windows
-both of whose halves come twice are cut out, and the suffix array of the cuts (grouping.py) brings equal windows
-side by side, where their bytes are compared. A gram with too many different cells for one task is split by its
-windows' hashes and counted by Spark instead, which is exact as well and has no hot key left but equal windows.
+independent parts. Under a gram, cells (all windows of one anchor) that are equal as a whole are counted first, by
+64-bit hashes of the gram and of the cell: where a cell comes twice, all its windows do. What is left are cells that
+share their gram with different ones, as at the edges of copied passages. One of each different cell is fetched; many
+grams' cells are put together, windows both of whose halves come twice are cut out, and the suffix array of the cuts
+(grouping.py) brings equal windows side by side, where their bytes are compared.
+
+A gram with too many different cells for one task is made longer: half of a cell's windows reach so far to the left of
+the gram, the others so far to the right, so each cell becomes two under longer grams, equal windows staying
+together. Equal cells are counted again, and what is still too much under one gram is made longer again, until a
+gram is a whole window. No step holds more rows than two for each cell.
 
 Defined results: a null or short text has no windows and keeps all its bytes; an empty text's digest is that of no
-bytes; rows are told apart by doc_id and text, and equal rows are copies of each other; null doc_ids are carried
+bytes; rows are told apart by doc_id and text (a 64-bit hash of both), and equal rows are copies of each other; null doc_ids are carried
 through; an empty table gives an empty result; other columns pass through `drop_repeats` unchanged.
 """
 
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Hashes, cells
-from .common import mapped, written
+from .anchors import GRAM, Hashes, cells, first_anchor
+from .common import joined_by_count, mapped, written
 from .grouping import suffix_array
 
 LENGTH = 200
 #: Different cells of a gram that one task takes at most, and bytes of cells that are sorted together, about.
-HOT_CELLS = 3000
+HOT_CELLS = 400
 SHARD_BYTES = 160_000
 
 
@@ -53,10 +58,20 @@ def anchored(texts: DataFrame, length: int) -> DataFrame:
     return mapped(texts, run, "key long, lo int, hi int, gram long, cell long")
 
 
+_CELL = "gram long, cell long, key long, lo int, hi int, single boolean, data binary, at int, width int"
+_CELL_ARROW = pa.schema(
+    [("gram", pa.int64()), ("cell", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]
+    + [("single", pa.bool_()), ("data", pa.binary()), ("at", pa.int32()), ("width", pa.int32())]
+)
+
+
+def _cell_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(_CELL_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _CELL_ARROW.types, strict=True)], schema=_CELL_ARROW)
+
+
 def fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """gram, window, key, lo, hi, single and data: a row for each wanted cell, or for each of its windows (with their hash) where it is hot."""
-    names = ["gram", "window", "key", "lo", "hi", "single", "data"]
-    schema = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True)))
+    """A row for each wanted cell with its bytes and, where it is hot, the place and width of its gram there (else null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,15 +79,49 @@ def fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 key, text, out = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), []
                 for c in batch.column(2)[row].as_py():
                     data = text[c["lo"] : c["hi"] + length]
-                    if c["hot"]:
-                        hashed = Hashes(data).every(length).view(np.int64).tolist()
-                        out += [(c["gram"], h, key, c["lo"] + k, c["lo"] + k, c["single"], None) for k, h in enumerate(hashed)]
-                    else:
-                        out.append((c["gram"], None, key, c["lo"], c["hi"], c["single"], data))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                    place = (first_anchor(data, length), GRAM) if c["hot"] else (None, None)
+                    out.append((c["gram"], c["cell"], key, c["lo"], c["hi"], c["single"], data, *place))
+                yield _cell_batch(out)
+
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("gram", "cell", "lo", "hi", "single", "hot")).alias("cells"))
+    return mapped(texts.join(lists, "key").select("key", "text", "cells"), run, _CELL)
+
+
+def lengthened(held: DataFrame, length: int) -> DataFrame:
+    """The cells of held as one or two cells each, under grams that are longer by half of what a window leaves beside its gram."""
+    hashed = lambda x: int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+
+    def halves(key: int, lo: int, hi: int, single: bool, data: bytes, at: int, width: int) -> Iterator[tuple]:
+        slack, last = length - width, hi - lo
+        left = (slack + 1) // 2  # a window with so many bytes before the gram takes them into it, else those behind
+        right = slack - left + 1
+        for start, stop, a, b in ((0, min(last, at - left), at - left, at + width), (max(0, at - left + 1), last, at, at + width + right)):
+            if start <= stop:
+                own = data[start : stop + length]
+                yield hashed(b"%d,%d:" % (a - at, b - a) + data[a:b]), hashed(own), key, lo + start, lo + stop, single, own, a - start, b - a
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _cell_batch([half for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for half in halves(*row)])
+
+    return mapped(held.select("key", "lo", "hi", "single", "data", "at", "width"), run, _CELL)
+
 
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("gram", "lo", "hi", "single", "hot")).alias("cells"))
-    return mapped(texts.join(lists, "key").select("key", "text", "cells"), run, "gram long, window long, key long, lo int, hi int, single boolean, data binary")
+def disentangled(held: DataFrame, length: int, hot_cells: int) -> tuple[DataFrame, DataFrame]:
+    """(ranges, cells): ranges of windows found twice among hot cells, and cells under grams that are no longer hot."""
+    names, ranges, cold = [f.name for f in _CELL_ARROW], [], []
+    while held.limit(1).count():
+        parts = written(lengthened(held.dropDuplicates(["gram", "key", "lo"]), length), "parts")
+        counts = parts.groupBy("gram", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("single").alias("alone"), F.min_by(F.struct(*names[2:]), F.struct("key", "lo")).alias("one"))
+        counts = written(counts, "counts")
+        ranges.append(joined_by_count(parts.select("gram", "cell", "key", "lo", "hi", "single"), counts.filter("n > 1").select("gram", "cell", "n"), ["gram", "cell"]).filter("single").select("key", "lo", "hi"))
+        one = counts.select("gram", "cell", *[F.col(f"one.{c}") for c in names[2:]], (F.col("alone") & (F.col("n") == 1)).alias("open")).drop("single").withColumnRenamed("open", "single")
+        by_gram = one.groupBy("gram").agg(F.count(F.lit(1)).alias("cells"), F.max("single").alias("any")).filter("cells > 1 and any").select("gram", "cells")
+        left = written(joined_by_count(one, by_gram, ["gram"], "cells"), "cells")
+        cold.append(left.filter(F.col("cells") <= hot_cells).select(*names))
+        held = left.filter(F.col("cells") > hot_cells).select(*names)
+    none = held.filter("false")
+    return reduce(DataFrame.unionByName, ranges, none.select("key", "lo", "hi")), reduce(DataFrame.unionByName, cold, none)
 
 
 def repeated_windows(parts: list[bytes], windows: list[int], length: int) -> np.ndarray:
@@ -128,6 +177,8 @@ def sorted_shards(held: DataFrame, length: int) -> DataFrame:
         rows, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and row[:3] == rows[-1][:3]:  # the same cell, from a row that is repeated
+                    continue
                 if size >= SHARD_BYTES and row[0] != rows[-1][0]:
                     yield solve(rows)
                     rows, size = [], 0
@@ -136,7 +187,7 @@ def sorted_shards(held: DataFrame, length: int) -> DataFrame:
         if rows:
             yield solve(rows)
 
-    dealt = held.select("gram", "key", "lo", "single", "data").repartition("gram").sortWithinPartitions("gram")
+    dealt = held.select("gram", "key", "lo", "single", "data").repartition("gram").sortWithinPartitions("gram", "key", "lo")
     return mapped(dealt, run, "key long, lo int, hi int")
 
 
@@ -144,20 +195,20 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, hot_cells: int = HOT_
     """key (of doc_id and text) and ranges of windows, each of which starts a string that also starts elsewhere."""
     texts = docs.select(_key().alias("key"), F.col("text").cast("binary").alias("text"))
     anchors = written(anchored(texts, length), "anchors")
-    often = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    shared = written(anchors.join(often, "gram"), "shared")
+    often = written(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "grams")
+    shared = written(joined_by_count(anchors, often, ["gram"]).drop("n"), "shared")
     by_cell = shared.groupBy("gram", "cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo", "hi")).alias("one"))
     by_cell = written(by_cell, "cells")
-    whole = shared.join(by_cell.filter("n > 1").select("gram", "cell"), ["gram", "cell"]).select("key", "lo", "hi")
+    whole = joined_by_count(shared, by_cell.filter("n > 1").select("gram", "cell", "n"), ["gram", "cell"]).select("key", "lo", "hi")
     # a gram's cells matter where there are different ones and a single one among them
-    mixed = by_cell.groupBy("gram").agg(F.count(F.lit(1)).alias("cells"), F.min("n").alias("least")).filter("cells > 1 and least = 1")
-    wanted = by_cell.join(mixed, "gram").select("gram", "one.*", (F.col("n") == 1).alias("single"), (F.col("cells") > hot_cells).alias("hot"))
+    mixed = by_cell.groupBy("gram").agg(F.count(F.lit(1)).alias("cells"), F.min("n").alias("least")).filter("cells > 1 and least = 1").drop("least")
+    wanted = joined_by_count(by_cell, written(mixed, "mixed"), ["gram"], "cells").select("gram", "cell", "one.*", (F.col("n") == 1).alias("single"), (F.col("cells") > hot_cells).alias("hot"))
     held = written(fetched(texts, wanted, length), "held")
-    hot = held.filter("window is not null")
-    twice = hot.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "window")
-    split = hot.filter("single").join(twice, ["gram", "window"]).select("key", "lo", "hi")
-    found = whole.unionByName(sorted_shards(held.filter("window is null"), length)).unionByName(split)
-    return found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    split, cold = disentangled(held.filter("at is not null"), length, hot_cells)
+    sorted_ones = sorted_shards(held.filter("at is null").unionByName(cold), length)
+    found = whole.unionByName(split).unionByName(sorted_ones)
+    # equal rows name a range once each: a set holds it once for all of them
+    return found.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
 
 def spans(ranges: list | None, length: int) -> list[tuple[int, int]]:

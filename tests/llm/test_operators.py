@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, on small fixtures with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -141,8 +142,9 @@ def test_near_duplicates_in_large_nodes(spark, monkeypatch):
             if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
                 a, b = names[i], names[j]
                 names = [min(a, b) if x in (a, b) else x for x in names]
-    for node in (3000, 40):
+    for node, blocks in ((3000, 40), (40, 40), (40, 2)):
         monkeypatch.setattr(minhash, "NODE", node)
+        monkeypatch.setattr(minhash, "BLOCKS", blocks)
         got = minhash.near_duplicates(frame, 3, 0.85).collect()
         assert {r.doc_id: r.component_id for r in got} == dict(enumerate(names))
 
@@ -172,9 +174,25 @@ def test_licenses(spark):
     assert got[3].labels == "apache-2.0" and 0.9 < got[3].score < 1 and got[3].spans[0].edits == 2 and got[5].labels == ""
 
 
+def test_license_seeds_miss_no_notice():
+    """Spans found around seeds are those of a scan of the whole text by the same pattern."""
+    rng = random.Random(19)
+    compiled = licenses._compiled(licenses.NOTICES)
+    for _ in range(150):
+        label, words, edits = rng.choice(licenses.NOTICES)
+        own = list(words)
+        for _ in range(rng.randint(0, edits)):
+            at = rng.randrange(len(own))
+            own[at] = rng.choice(["", own[at] + "x", "z"])
+        norm = licenses.normalised(f"{words_of(rng, 20)} {''.join(own)} {words_of(rng, 10)}".encode())
+        gaps = licenses.blanks(norm)
+        got = {(s[0], s[1]) for s in licenses.fuzzy_spans(norm, compiled, gaps)}
+        scan = {(n.label, norm.count(b" ", 0, m.start()) - 1) for n in compiled for m in n.pattern.finditer(norm)}
+        assert got == scan
+
+
 def test_packing(spark, rows):
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     got = packing.pack_documents(docs(spark, rows), packing.Encoder.vocabulary(public_tokenizers.path("byte_bpe_50k.json")), room=64, group_pieces=8).collect()
     expected = Counter()
     for i, t, _, _ in rows:
@@ -193,9 +211,37 @@ def test_packing(spark, rows):
         assert at <= 64
 
 
+def test_pieces_go_where_the_sum_of_squares_is_least():
+    rng = random.Random(23)
+    for _ in range(40):
+        room, sizes = 16, [rng.randint(1, 16) for _ in range(60)]
+        got, bins, gaps = packing.sum_of_squares(packing.np.array(sizes), room), [], Counter()
+        for size, at in zip(sizes, got.tolist(), strict=True):
+            def cost(gap, size=size):  # the sum after a bin of this gap takes the piece; gap 16 is a new bin
+                after = Counter(gaps)
+                if gap < room:
+                    after[gap] -= 1
+                if gap > size:
+                    after[gap - size] += 1
+                return sum(n * n for n in after.values())
+
+            options = [cost(g) for g in {room, *(g for g, n in gaps.items() if n and g >= size)}]
+            gap = room if at == len(bins) else room - bins[at]
+            assert gap >= size and cost(gap) == min(options)
+            if at == len(bins):
+                bins.append(0)
+            else:
+                gaps[gap] -= 1
+            bins[at] += size
+            if bins[at] < room:
+                gaps[room - bins[at]] += 1
+    many = packing.np.array([rng.randint(1, 2048) for _ in range(4000)])
+    where, _ = packing.pack(many, 2048)
+    assert where.max() + 1 <= 1.06 * -(-many.sum() // 2048)
+
+
 def test_encoder_splits_white_space_as_the_tokenizer_does():
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     rng = random.Random(3)
     parts = [" ", "  ", "\n", "\n ", " \n", "\n\n", "\t", "   ", "\xa0", "\r\n", "'s", "a", "B1", "é", "!!", "日本", "<|endoftext|>"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]
@@ -232,6 +278,15 @@ def test_repeats(spark, rows, hot):
     assert [tuple(r)[1:] for r in got.orderBy("doc_id").collect()] == removed(texts, 200)
 
 
+def test_repeats_of_many_equal_rows_and_of_a_hot_gram(spark):
+    rng = random.Random(21)
+    passage = words_of(rng, 60)
+    texts = [words_of(rng, 80)] * 2000 + [f"{words_of(rng, 12)} {passage} {words_of(rng, 12)}" for _ in range(60)]
+    frame = docs(spark, [(i if i >= 2000 else 7, t, "en", "a") for i, t in enumerate(texts)])
+    got = Counter(tuple(r)[1:] for r in suffixes.remove_repeats(frame, 200, hot_cells=20).collect())
+    assert got == Counter(removed(texts, 200))
+
+
 def test_dropped_repeats_leave_whole_characters(spark, rows):
     frame = docs(spark, rows)
     got = suffixes.drop_repeats(frame, 200)
@@ -248,14 +303,40 @@ def test_sliding_minimum_and_cells():
 def test_fingerprints(spark, rows):
     got = sketch.fingerprint_documents(docs(spark, rows), buckets=5).collect()
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
-    by_id = {}
+    by_id, edited = {}, []
     for k, (i, t, _, _) in enumerate(order):
         text, after = t or "", order[(k + 1) % len(order)][1] or ""
         half = len(text) // 2
-        by_id.setdefault(i, []).append((len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
+        edited.append(text[: len(text) - half] + after[:half])
+        by_id.setdefault(i, []).append((len(text), hashlib.sha256(edited[-1].encode()).hexdigest()))
     assert sorted(((r.doc_id is None, r.doc_id), r.n_chars, r.edited_sha256) for r in got if r.doc_id) == sorted(((i is None, i), *x) for i, xs in by_id.items() if i for x in xs)
     assert len({r.fingerprint for r in got if r.doc_id in (0, 10)}) == 1
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    # every shingle's hash from the engine; what is retained, and how much of it is found elsewhere, in plain Python
+    texts = sorted({t or "" for _, t, _, _ in rows} | {e for e in edited})
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    every = {r.text: r.sketch for r in sketch.sketches(frame, ["text"], scale=1).collect()}
+    plain = {t: len({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}) if (w := WORD.findall(t)) else 0 for t in texts}
+    assert {t: len(h) for t, h in every.items()} == plain
+    kept = {t: {h for h in hs if h < -(2**63) + 2**61} for t, hs in every.items()}
+    like = lambda a, b: 1.0 if a == b else len(kept[a] & kept[b]) / len(kept[a]) if kept[a] else 0.0
+    wanted = Counter()
+    for k, (i, t, _, _) in enumerate(order):
+        after = order[(k + 1) % len(order)][1] or ""
+        if i:
+            wanted[(i, round(like(t or "", edited[k]), 9), round(like(t or "", after), 9), ":" + "".join(f"{h + 2**64:016x}"[:8] for h in sorted(kept[t or ""])))] += 1
+    assert Counter((r.doc_id, round(r.near_edited, 9), round(r.near_next, 9), r.fingerprint[16:]) for r in got if r.doc_id) == wanted
+
+
+def test_merged_sketches_tell_containment(spark):
+    rng = random.Random(31)
+    long = [words_of(rng, 400) for _ in range(3)]
+    parts = spark.createDataFrame([(1, long[0][:1500], "a"), (2, long[1], "a"), (3, words_of(rng, 300), "b"), (4, "one", "b"), (5, None, "b")], "doc_id long, text string, part string")
+    whole = sketch.merged(sketch.sketches(spark.createDataFrame([(t,) for t in long], "text string"), [], scale=2), [])
+    got = {r.doc_id: r.share for r in sketch.contained(sketch.sketches(parts, ["doc_id"], scale=2), "doc_id", whole).collect()}
+    assert got[1] > 0.95 and got[2] == 1.0 and got[3] == 0.0 and got[5] is None
+    by = sketch.merged(sketch.sketches(parts, ["part"], scale=2), ["part"])
+    again = sketch.merged(sketch.sketches(parts.filter("doc_id < 3"), ["part"], scale=2), ["part"]).union(sketch.merged(sketch.sketches(parts.filter("doc_id >= 3"), ["part"], scale=2), ["part"])).distinct()
+    assert sorted(map(tuple, by.collect())) == sorted(map(tuple, again.collect()))
 
 
 def test_archives(spark):
@@ -272,6 +353,36 @@ def test_archives(spark):
     assert keys == sorted(keys) and ("example,b)/x") in {k[0] for k in keys}
 
 
+def test_archive_files(spark, tmp_path):
+    import base64
+    import gzip
+
+    pages = [(i % 50, f"http://h{i % 7}.example/{i}", f"<p>{'x' * (i % 5)}{i % 9}</p>", i) for i in range(120)] + [(5, "http://h5.example/5", "<p>5</p>", 1)] * 3 + [(None, None, None, 1)] * 2
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string, digest long")
+    path = f"file://{tmp_path}/archive"
+    warc.write_archives(warc.captures(frame), path, file_bytes=2000)
+    index = warc.read_archives(spark, path).collect()
+    files = {p.as_posix(): p.read_bytes() for p in (tmp_path / "archive").glob("*.txt")}
+    assert len(index) == len(pages) and len(files) > 3 and all(len(f) < 4000 for f in files.values())
+    heads, dates = {}, {}
+    for r in index:
+        data = files[r.run.removeprefix("file:").replace("//", "/")][r.place :]
+        head, block = warc.parsed(next(warc.members(data))[1])
+        assert head["WARC-Record-ID"] not in heads
+        heads[head["WARC-Record-ID"]] = head
+        if r.record_type == "response":
+            dates[r.payload_digest] = head["WARC-Date"]
+            assert base64.b32encode(hashlib.sha1(block[len(warc.HTTP) :]).digest()).decode() == r.payload_digest
+    for head in heads.values():
+        if head["WARC-Type"] == "revisit":
+            assert head["WARC-Profile"] == warc.PROFILE and "WARC-Refers-To-Date" in head
+            assert head.get("WARC-Refers-To") is None or heads[head["WARC-Refers-To"]]["WARC-Type"] == "response"
+    for data in files.values():
+        assert gzip.decompress(data).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")  # closing zeros are padding
+        own = [(r.url_key, r.captured_at, -1 if r.page_id is None else r.page_id) for r in sorted(index, key=lambda r: r.place) if files[r.run.removeprefix("file:").replace("//", "/")] is data]
+        assert own == sorted(own)
+
+
 def test_loser_tree():
     rng = random.Random(4)
     for k in range(9):
@@ -294,6 +405,38 @@ def test_chat(spark, monkeypatch):
             assert (got[conv].n_turns, got[conv].turns_sha256, got[conv].loss_chars, got[conv].loss_sha256) == (len(own), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_folding_of_hand_written_logs(spark):
+    log = [
+        (1, "a", 0, 0, "start", "user", "Hi"), (1, "a", 0, 1, "edit", None, "Hello"),
+        (1, "b", 1, 3, "delta", None, "c"), (1, "b", 1, 0, "start", "assistant", "x"), (1, "b", 1, 2, "delta", None, "b"), (1, "b", 1, 1, "edit", None, "a"),
+        (1, "c", 2, 0, "start", "assistant", ""), (1, "c", 2, 1, "delta", None, "bad"), (1, "c", 2, 2, "regenerate", None, None), (1, "c", 2, 3, "delta", None, "go"), (1, "c", 2, 4, "delta", None, "od"),
+        (1, "d", 3, 0, "delta", "assistant", "no start"), (1, "e", 4, None, "start", "user", None), (1, "e", 4, 0, "odd kind", "user", "z"), (1, "e", 4, 1, None, None, "z"), (None, "f", None, 0, "start", None, "t"),
+    ]
+    random.Random(6).shuffle(log)
+    frame = spark.createDataFrame(log, "conv_id long, message_id string, seq long, step int, kind string, role string, text string")
+    got = {(r.conv_id, r.message_id): (r.role, r.text) for r in chat.fold_events(frame).collect()}
+    assert got == {(1, "a"): ("user", "Hello"), (1, "b"): ("assistant", "abc"), (1, "c"): ("assistant", "good"), (1, "d"): ("", "no start"), (1, "e"): ("user", ""), (None, "f"): ("", "t")}
+
+
+def test_tilts_solve_the_balance(spark):
+    rng = random.Random(17)
+    sizes = [(s, rng.randint(1, 200)) for s in ("a", "b") for _ in range(300)]
+    frame = spark.createDataFrame([(s, n) for s, n in sizes], "source string, size long")
+    total = Counter()
+    for s, n in sizes:
+        total[s] += n
+    goals = spark.createDataFrame([(s, total[s], 300, total[s] * f) for s, f in (("a", 0.6), ("b", 1.4))], "source string, source_size long, documents long, target double")
+    for r in mixing.tilts(frame, goals).collect():
+        own = [n for s, n in sizes if s == r.source]
+        goal = total[r.source] * (0.6 if r.source == "a" else 1.4)
+        got = lambda t: sum(n * min(2.0, math.exp(t * n / r.scale)) for n in own)  # noqa: E731, B023
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if got(middle) < goal else (low, middle)
+        assert abs(r.tilt - low) < 1e-6
+
+
 def test_mixing(spark):
     rng = random.Random(8)
     rows = [(i, words_of(rng, rng.randint(1, 60)), rng.choice(["a", "b", "c", None]), "x") for i in range(400)] + [(900, None, "a", "x"), (901, "", "b", "x"), (5, "dup dup", "a", "x")]
@@ -332,6 +475,28 @@ def test_empty_tables_give_empty_results(spark, operator):
     assert operator(docs(spark, [])).count() == 0
 
 
+def test_empty_pages_and_logs(spark):
+    assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert chat.digests(chat.format_conversations(chat.event_log(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))).count() == 0
+
+
 def test_scratch_folder_is_the_sessions(spark):
     assert common.scratch_dir(spark) == common.scratch_dir(spark)
-    assert F.lit(1) is not None
+    kept = common.written(spark.range(5), "kept")
+    assert kept.count() == 5
+    common.discard(kept)
+    assert not spark._jvm.org.apache.hadoop.fs.Path(kept.scratch_path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(kept.scratch_path))
+
+
+def test_joined_by_count_spreads_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    left = spark.createDataFrame([(k, i) for i in range(60) for k in (0 if i % 2 else i,)], "k long, i long")
+    counted = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(r.i for r in common.joined_by_count(left, counted, ["k"]).collect()) == list(range(60))
+
+
+def test_long_texts_full_of_phrases(spark):
+    frame = docs(spark, [(1, "cc by " * 60_000 + "all rights reservd all rights reserved", "en", "a")])
+    (r,) = licenses.scan_notices(frame).collect()
+    assert (r.n_base, r.first_word, r.last_word) == (60_001, 0, 120_003)
+    assert [(s.start_word, s.edits) for s in r.spans if s.label == "reserved"] == [(120_000, 1), (120_003, 0)]
