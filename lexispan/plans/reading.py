@@ -25,9 +25,9 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _triggers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    words, readers = _words(spark, sf_dir), D.profiles(spark, ZIPF_SHIFT)
-    rare = D.rare_words(words, tokens.zipf_table(words), readers)
-    return rare.unionByName(D.long_words(words, readers)).unionByName(D.long_sentences(words, readers)), words, readers
+    counts, readers = D.word_counts(_words(spark, sf_dir)), D.profiles(spark, ZIPF_SHIFT)
+    rare = D.rare_words(counts, D.zipf_of(counts), readers)
+    return rare.unionByName(D.long_words(counts, readers)).unionByName(D.long_sentences(counts, readers)), counts, readers
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,7 @@ def quota_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    triggers, words, readers = _triggers(spark, sf_dir)
-    return D.reading_load(triggers, words, readers)
+    return D.reading_load(*_triggers(spark, sf_dir))
 
 
 def top_flagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +88,7 @@ def ambiguity_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def personal_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readers are conversations; a reader's own words are those that they use at least 5 times."""
     own = style.vocabularies(_posts(spark, sf_dir), 5).select(F.col("author").cast("string").alias("reader"), "lower")
-    hits = D.personal(_words(spark, sf_dir), own)
-    return hits.groupBy("profile", "doc_id").agg(F.count(F.lit(1)).alias("triggers"))
+    return D.personal(D.word_counts(_words(spark, sf_dir)), own)
 
 
 def ranked_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
