@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import reading, service
+from . import mapped, reading, service
 
 
 def queries() -> dict:
-    return {**reading.QUERIES, **service.QUERIES}
+    return {**reading.QUERIES, **service.QUERIES, **mapped.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**reading.ORACLE, **service.ORACLE}
+    return {**reading.ORACLE, **service.ORACLE, **mapped.ORACLE}
