@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lexispan.functions import text as X
 from lexispan.operators import detectors as D
-from lexispan.operators import protect, rewrite, style, tokens
+from lexispan.operators import protect, rewrite, style, token_table, tokens
+from lexispan.sources import documents as S
 from lexispan.sources import pages as P
 
 QUOTA = 2000
@@ -96,8 +97,43 @@ def ranked_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substituted_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _words(spark, sf_dir)
-    return rewrite.substituted_sentences(_t(spark, sf_dir, "documents"), words, rewrite.ranked_alternatives(tokens.zipf_table(words), RARE))
+    docs, words = _t(spark, sf_dir, "documents"), _words(spark, sf_dir)
+    return rewrite.substituted_sentences(token_table.token_table(docs), protect.spans_with_offsets(docs), rewrite.ranked_alternatives(tokens.zipf_table(words), RARE))
+
+
+def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table.token_table(_t(spark, sf_dir, "documents")).select("doc_id", "para_no", "sent_index", "tok_i", "start", "end", "lower")
+
+
+def protected_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return protect.spans_with_offsets(_t(spark, sf_dir, "documents"))
+
+
+def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = S.clean_text(F.coalesce("text", F.lit("")), markdown=True)
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(text.cast("binary")).alias("digest"))
+
+
+def chapter_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of three words at most are taken for headings, since the given texts have no chapters."""
+    found = S.chapters(_t(spark, sf_dir, "documents"), r"^\S+( \S+){0,2}$")
+    return found.select("doc_id", "chapter", "title", F.length("body").cast("long").alias("chars"))
+
+
+def gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first reasons of the gate against the candidates of fidelity_gate; what needs sentences counts as later."""
+    candidate = F.when(F.col("doc_id") % 2 == 1, F.regexp_replace("text", "[0-9]", "")).otherwise(F.regexp_replace("text", r"^[^\n]*\n", ""))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("original"), candidate.alias("candidate"))
+    reason = F.when(F.col("reason").isin("empty", "too_short", "too_long", "missing_protected_span"), F.col("reason")).otherwise("later")
+    return protect.reject_reasons(rows).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+def author_connectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style.connectives(_posts(spark, sf_dir))
+
+
+def imported_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.imported(_t(spark, sf_dir, "pages"))
 
 
 def protected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +161,8 @@ def style_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def learned_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return style.learned_profiles(style.style_report(_posts(spark, sf_dir)))
+    posts = _posts(spark, sf_dir)
+    return style.learned_profiles(style.style_report(posts), style.word_frequency(posts, tokens.zipf_table(_words(spark, sf_dir))))
 
 
 def sentence_starters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +211,20 @@ _PARA = "list_filter(list_transform(CASE WHEN regexp_matches(coalesce(text,''),
 _WHITE = "list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> '')"
 _POSTS = f"""WITH posts AS (SELECT conv_id AS author, text FROM conversations WHERE role = 'user'),
  sents AS (SELECT author, unnest({_SENT}) AS sentence FROM posts), s AS (SELECT *, regexp_extract_all(sentence, '\\p{{L}}+') AS words FROM sents WHERE regexp_matches(sentence, '\\p{{L}}'))"""
-_HOST = r"lower(regexp_extract(coalesce(url,''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)', 1))"
+_HOST = r"regexp_replace(lower(regexp_extract(coalesce(url,''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]/?#]*\]|[^/:?#]*)', 1)), '\.+$', '')"
+
+_Q = {k: "'" + p.replace("'", "''") + "'" for k, p in protect.SPANS.items()}
+_TOKENS = r"""WITH ch AS (SELECT doc_id, unnest(cs) AS chunk, generate_subscripts(cs, 1) AS ci FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*|[.!?\n]+') AS cs FROM documents)),
+ cf AS (SELECT *, sum(length(chunk)) OVER d - length(chunk) AS f, sum(regexp_matches(chunk, '\n\n')::INT) OVER d AS blanks, sum(contains(chunk, chr(10))::INT) OVER d AS ends, max(regexp_matches(chunk, '\n\n')::INT) OVER (PARTITION BY doc_id) AS has FROM ch WINDOW d AS (PARTITION BY doc_id ORDER BY ci)),
+ st AS (SELECT *, CASE WHEN has > 0 THEN blanks ELSE ends END AS para_no, row_number() OVER (PARTITION BY doc_id ORDER BY ci) - 1 AS sent_index FROM cf WHERE regexp_matches(chunk, '[\p{L}\p{N}]')),
+ pc AS (SELECT doc_id, para_no, sent_index, f, unnest(ps) AS text, generate_subscripts(ps, 1) AS pi FROM (SELECT *, regexp_extract_all(chunk, '\p{L}+|[0-9]+|\s+|[^\p{L}0-9\s]') AS ps FROM st)),
+ pl AS (SELECT *, f + sum(length(text)) OVER s AS "end", lead(text) OVER s AS after FROM pc WINDOW s AS (PARTITION BY doc_id, sent_index ORDER BY pi)),
+ tk AS (SELECT doc_id, para_no::BIGINT AS para_no, sent_index, row_number() OVER (PARTITION BY doc_id ORDER BY sent_index, pi) - 1 AS tok_i, ("end" - length(text))::BIGINT AS start, "end"::BIGINT AS "end", text, lower(text) AS lower, CASE WHEN regexp_matches(coalesce(after, ''), '^\s') THEN after ELSE '' END AS ws FROM pl WHERE NOT regexp_matches(text, '^\s'))"""
+_SPANS = "sp AS (" + " UNION ALL ".join(
+    f"""SELECT doc_id, '{k}' AS why, ("end" - length(span))::BIGINT AS start, "end"::BIGINT AS "end", span FROM (SELECT *, sum(length(gap) + coalesce(length(span), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS "end"
+ FROM (SELECT doc_id, unnest(g) AS gap, generate_subscripts(g, 1) AS i, s[generate_subscripts(g, 1)] AS span FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), {p}) AS g, regexp_extract_all(coalesce(text, ''), {p}) AS s FROM documents))) WHERE span IS NOT NULL"""
+    for k, p in _Q.items()
+) + ")"
 
 ORACLE = {
     "zipf_table": f"{_WORDS}, {_ZIPF} SELECT * FROM zipf",
@@ -207,10 +257,10 @@ ORACLE = {
     "personal_triggers": f"""{_WORDS}, psents AS (SELECT conv_id, unnest({_SENT}) AS sentence FROM conversations WHERE role = 'user'), pw AS (SELECT conv_id, lower(unnest(regexp_extract_all(sentence, '\\p{{L}}+'))) AS lower FROM psents),
  own AS (SELECT conv_id::VARCHAR AS reader, lower FROM pw GROUP BY ALL HAVING count(*) >= 5) SELECT reader AS profile, doc_id, count(*) AS triggers FROM toks JOIN own USING (lower) GROUP BY ALL""",
     "ranked_alternatives": f"{_WORDS}, {_ZIPF}, {_RANKED} SELECT * FROM ranked WHERE place <= 3",
-    "substituted_sentences": f"""{_WORDS}, {_ZIPF}, {_RANKED}, p AS (SELECT t.doc_id, sent_index, tok_i, alternative, CASE WHEN alternative IS NULL THEN word WHEN regexp_matches(word, '^\\p{{Lu}}{{2,}}$') THEN upper(alternative)
-  WHEN regexp_matches(word, '^\\p{{Lu}}') THEN upper(left(alternative, 1)) || substr(alternative, 2) ELSE alternative END AS w
-  FROM toks t JOIN (SELECT doc_id FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[0-9]')) f ON f.doc_id = t.doc_id LEFT JOIN ranked r ON r.lower = t.lower AND r.place = 1)
- SELECT doc_id, sent_index, count(alternative) AS changes, string_agg(w, ' ' ORDER BY tok_i) AS rewritten FROM p GROUP BY ALL HAVING count(alternative) > 0""",
+    "substituted_sentences": f"""{_TOKENS}, {_WORDS[5:]}, {_ZIPF}, {_RANKED}, {_SPANS}, p AS (SELECT t.doc_id, t.sent_index, t.tok_i, alternative, CASE WHEN alternative IS NULL THEN t.text WHEN regexp_matches(t.text, '^\\p{{Lu}}{{2,}}$') THEN upper(alternative)
+  WHEN regexp_matches(t.text, '^\\p{{Lu}}') THEN upper(left(alternative, 1)) || substr(alternative, 2) ELSE alternative END || ws AS w
+  FROM tk t LEFT JOIN (SELECT t.doc_id, t.tok_i, r.alternative FROM tk t JOIN ranked r ON r.lower = t.lower AND r.place = 1 WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.doc_id = t.doc_id AND sp.start < t."end" AND t.start < sp."end")) a ON a.doc_id = t.doc_id AND a.tok_i = t.tok_i)
+ SELECT doc_id, sent_index, count(alternative) AS changes, trim(string_agg(w, '' ORDER BY tok_i), ' ') AS rewritten FROM p GROUP BY ALL HAVING count(alternative) > 0""",
     "protected_spans": " UNION ALL ".join(
         f"SELECT doc_id, '{k}' AS why, generate_subscripts(x, 1) - 1 AS place, unnest(x) AS span FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{p}') AS x FROM documents)" for k, p in protect.PROTECTED.items()
     ).replace("\\n", "\n").replace('\\"', '"'),
@@ -218,20 +268,42 @@ ORACLE = {
     "rewrite_costs": f"""WITH c AS (SELECT doc_id, len({_PARA}) AS paragraphs, length(coalesce(text, '')) // 4 AS t FROM documents)
  SELECT doc_id, paragraphs, t + 600 * paragraphs AS tokens_in, t AS tokens_out, ((t + 600 * paragraphs) * 0.15::DOUBLE + t * 0.6::DOUBLE) / 1e6 AS price FROM c""",
     "style_report": _POSTS + """, a AS (SELECT author, count(*) AS sentences, sum(len(words))::BIGINT AS words, max(len(words)) AS longest, round(avg((len(words) <= 6)::INT), 4) AS short_rate, round(avg((len(words) >= 20)::INT), 4) AS long_rate,
- round(avg(contains(sentence, '?')::INT), 4) AS question_rate, round(avg(contains(sentence, '!')::INT), 4) AS exclamation_rate, round(avg(contains(sentence, '(')::INT), 4) AS parenthesis_rate,
+ round(avg(contains(sentence, '?')::INT), 4) AS question_rate, round(avg(contains(sentence, '!')::INT), 4) AS exclamation_rate, round(avg((contains(sentence, '(') AND contains(sentence, ')'))::INT), 4) AS parenthesis_rate,
+ round(avg(contains(sentence, '!!')::INT), 4) AS multi_exclamation_rate, round(avg((contains(sentence, '...') OR contains(sentence, '\u2026'))::INT), 4) AS ellipsis_rate,
+ round(sum(len(regexp_extract_all(sentence, '\\p{L}[''\u2019]\\p{L}'))) / count(*), 4) AS contractions, round(sum(len(regexp_extract_all(sentence, '[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{1F1E6}-\\x{1F1FF}]'))) / count(*), 4) AS emoji,
  round(sum(length(sentence) - length(replace(sentence, ',', ''))) / count(*), 4) AS commas, quantile_cont(len(words), [0.25, 0.5, 0.75, 0.9]) AS q FROM s GROUP BY author),
  w AS (SELECT author, word, lower(word) AS lower FROM (SELECT author, unnest(words) AS word FROM s)),
- b AS (SELECT author, round(avg(length(word)), 4) AS word_length, round(100 * avg((lower IN ('i','me','my','mine','we','us','our','ours'))::INT), 4) AS first_person,
- round(100 * avg(regexp_matches(word, '^\\p{Lu}{2,}$')::INT), 4) AS capitals, round(count(DISTINCT lower) / count(*), 4) AS type_token FROM w GROUP BY author)
+ b AS (SELECT author, round(avg(length(word)), 4) AS word_length, round(100 * avg((lower IN ('i','me','my','mine','we','us','our'))::INT), 4) AS first_person,
+ round(100 * avg(regexp_matches(word, '^\\p{Lu}{3,}$')::INT), 4) AS capitals, round(avg((length(word) > 9)::INT), 4) AS long_word_rate, round(count(DISTINCT lower) / count(*), 4) AS type_token FROM w GROUP BY author)
  SELECT a.* EXCLUDE (q), b.* EXCLUDE (author), round(q[1], 4) AS p25, round(q[2], 4) AS median, round(q[3], 4) AS p75, round(q[4], 4) AS p90 FROM a JOIN b USING (author)""",
-    "learned_profiles": _POSTS + """, a AS (SELECT author, sum(len(words)) AS words, avg((len(words) >= 20)::INT) AS long_rate, quantile_cont(len(words), 0.75) AS p75 FROM s GROUP BY author)
- SELECT author, least(greatest(round(p75), 8), 28)::BIGINT AS max_sentence_words, CASE WHEN round(long_rate, 4) < 0.05 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END AS syntax_weight FROM a WHERE words >= 150""",
+    "learned_profiles": f"{_WORDS}, {_ZIPF}, {_POSTS[5:]}".replace("FROM sents", "FROM psents").replace(", sents AS (SELECT author", ", psents AS (SELECT author").replace("\n sents AS (SELECT author", "\n psents AS (SELECT author").replace("toks AS (SELECT *, lower(word) AS lower FROM psents", "toks AS (SELECT *, lower(word) AS lower FROM sents").replace("AS tok_i FROM psents", "AS tok_i FROM sents") + """, a AS (SELECT author, sum(len(words)) AS words, quantile_cont(len(words), 0.75) AS p75 FROM s GROUP BY author),
+ z AS (SELECT author, round(coalesce(median(zipf), 4.6), 4) AS m FROM (SELECT author, lower(unnest(words)) AS lower FROM s) LEFT JOIN zipf USING (lower) GROUP BY author)
+ SELECT author, least(greatest(round_even(round(p75, 4), 0), 8), 28)::BIGINT AS max_sentence_words, greatest(2.8::DOUBLE, least(4.2::DOUBLE, round_even(m - 1.1::DOUBLE, 2))) AS min_zipf, 1.0::DOUBLE AS syntax_weight FROM a JOIN z USING (author) WHERE words >= 150""",
+    "author_connectives": _POSTS + f""", w AS (SELECT author, lower(unnest(words)) AS connective FROM s), c AS (SELECT author, connective, count(*) AS n FROM w WHERE connective IN {style.CONNECTIVES} GROUP BY ALL)
+ SELECT author, connective, n FROM c QUALIFY row_number() OVER (PARTITION BY author ORDER BY n DESC, connective) <= 20""",
+    "token_offsets": f"{_TOKENS} SELECT doc_id, para_no, sent_index, tok_i, start, \"end\", lower FROM tk",
+    "protected_offsets": f"WITH {_SPANS} SELECT doc_id, why, start, \"end\", span FROM sp",
+    "clean_texts": r"""WITH u AS (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^#{1,6}\s*', '', 'g'), '[*_`]{1,3}', '', 'g'), '\r\n?', chr(10), 'g'), '\n\s*\n') AS ps FROM documents)
+ SELECT doc_id, md5(array_to_string(list_filter(list_transform(ps, lambda p: trim(regexp_replace(p, '\s*\n\s*', ' ', 'g'), ' ')), lambda p: p <> ''), chr(10) || chr(10))) AS digest FROM u""",
+    "chapter_lengths": r"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+ h AS (SELECT *, regexp_matches(line, '^\S+( \S+){0,2}$') AS head FROM l), s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS section, sum(head::INT) OVER (PARTITION BY doc_id) AS heads FROM h),
+ b AS (SELECT doc_id, section, coalesce(max(trim(regexp_replace(line, '^#+\s*', ''), ' ')) FILTER (head), '') AS title, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT head), ''), '^\s+|\s+$', '', 'g') AS body FROM s WHERE section > 0 OR heads = 0 GROUP BY doc_id, section)
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section) AS chapter, title, length(body) AS chars FROM b WHERE body <> ''""",
+    "gate_reasons": f"""WITH c AS (SELECT doc_id, coalesce(text, '') AS o, trim(CASE WHEN doc_id % 2 = 1 THEN regexp_replace(coalesce(text, ''), '[0-9]', '', 'g') ELSE regexp_replace(coalesce(text, ''), '^[^\n]*\n', '') END, ' ') AS k FROM documents),
+ n AS (SELECT *, list_concat(list_concat(regexp_extract_all(o, {_Q['quote']}), regexp_extract_all(o, {_Q['number']})), regexp_extract_all(o, {_Q['code/url']})) AS spans FROM c),
+ r AS (SELECT doc_id, CASE WHEN trim(k, ' ') = '' THEN 'empty' WHEN length(k) / greatest(length(o), 1) < 0.6 THEN 'too_short' WHEN length(k) / greatest(length(o), 1) > 1.6 THEN 'too_long'
+ WHEN len(list_filter(spans, lambda s: NOT contains(lower(k), regexp_replace(lower(trim(s, ' ')), '^["\u201C\u201D\u2018\u2019]+|["\u201C\u201D\u2018\u2019]+$', '', 'g')))) > 0 THEN 'missing_protected_span' END AS reason FROM n)
+ SELECT coalesce(reason, 'later') AS reason, count(*) AS documents FROM r GROUP BY ALL""",
     "sentence_starters": _POSTS + """, f AS (SELECT author, lower(words[1]) AS starter, count(*) AS n FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY n DESC, starter) AS place FROM f)
  SELECT author, starter, n FROM r WHERE place <= 40 AND n >= 3""",
     "reader_vocabularies": _POSTS + " SELECT author, lower(w) AS lower, count(*) AS n FROM (SELECT author, unnest(words) AS w FROM s) GROUP BY ALL HAVING count(*) >= 2",
-    "url_admission": f"""WITH h AS (SELECT page_id, url, {_HOST} AS host FROM pages), p AS (SELECT *, regexp_matches(host, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$') AS literal, coalesce(try_cast(split_part(host, '.', 1) AS INT), -1) AS a, coalesce(try_cast(split_part(host, '.', 2) AS INT), -1) AS b FROM h)
- SELECT page_id, host, regexp_matches(coalesce(url, ''), '(?i)^https?://') AND host <> '' AND NOT regexp_matches(host, '(^|\\.)localhost$') AND NOT regexp_matches(host, '\\.(local|internal)$')
- AND NOT (literal AND (a IN (0, 10, 127) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR a >= 224)) AS admissible FROM p""",
+    "url_admission": f"""WITH h AS (SELECT page_id, url, {_HOST} AS host FROM pages), p AS (SELECT *, regexp_matches(host, '^(25[0-5]|2[0-4][0-9]|1?[1-9]?[0-9]|1[0-9][0-9])(\\.(25[0-5]|2[0-4][0-9]|1?[1-9]?[0-9]|1[0-9][0-9])){{3}}$') AS literal,
+ coalesce(try_cast(split_part(host, '.', 1) AS INT), -1) AS a, coalesce(try_cast(split_part(host, '.', 2) AS INT), -1) AS b, coalesce(try_cast(split_part(host, '.', 3) AS INT), -1) AS c FROM h)
+ SELECT page_id, host, regexp_matches(coalesce(url, ''), '(?i)^https?://') AND host <> '' AND NOT regexp_matches(host, '(^|\\.)localhost$') AND NOT regexp_matches(host, '\\.(local|internal)$') AND NOT regexp_matches(host, '[\\s%]')
+ AND NOT (NOT literal AND regexp_matches(host, '^(0x[0-9a-f]*|[0-9]+)(\\.(0x[0-9a-f]*|[0-9]+))*$'))
+ AND NOT (contains(host, '[') AND NOT (regexp_matches(host, '^\\[[23][0-9a-f]{{3}}:[0-9a-f:]+\\]$') AND NOT regexp_matches(host, '^\\[(2001:(0{{0,3}}[0-9a-f]?|0?[01][0-9a-f]{{0,2}}|0?db8)?:|2002:|3fff:)')))
+ AND NOT (literal AND (a IN (0, 10, 127) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR a >= 224
+  OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113))) AS admissible FROM p""",
 }
 
 QUERIES = {
@@ -239,5 +311,6 @@ QUERIES = {
     for f in (
         zipf_table, unit_counts, chapter_chunks, quota_cut, load_by_document, top_flagged_words, triggers_by_kind, load_vs_quality, lookalike_pairs, soundalike_classes, near_pair_triggers,
         ambiguity_triggers, personal_triggers, ranked_alternatives, substituted_sentences, protected_spans, fidelity_gate, dedupe_keys, rewrite_costs, style_report, learned_profiles, sentence_starters, reader_vocabularies, article_texts, url_admission,
+        token_offsets, protected_offsets, clean_texts, chapter_lengths, gate_reasons, author_connectives, imported_pages,
     )
 }
