@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as Parquet
 to the shared folder and read again. All but the last keep the columns of documents.
+
+Defined results: rows with a null or empty text fail the quality rules; a null language is a language and a null source a source of
+its own; of repeated rows one stays, as of near-duplicates; rows without doc_id are rows like others and come last
+where doc_ids decide; texts are taken whole, however long; an empty table gives an empty result at every stage; columns beside those
+that a stage reads are carried on.
 """
 
 from __future__ import annotations
@@ -48,7 +53,7 @@ STAGES = [
     ("sequence_packing", sequence_packing),
 ]
 
-#: SQL cannot express tokenising, the joins by minwise tokens and packing; tests compare the stages with brute force.
+#: SQL cannot express tokenising, the joins by minwise tokens and packing; tests compare every stage with plain Python on a small fixture.
 ORACLE_SQL = None
 
 
