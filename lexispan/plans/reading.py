@@ -214,6 +214,29 @@ _POSTS = f"""WITH posts AS (SELECT conv_id AS author, text FROM conversations WH
 _HOST = r"regexp_replace(lower(regexp_extract(coalesce(url,''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]/?#]*\]|[^/:?#]*)', 1)), '\.+$', '')"
 
 _Q = {k: "'" + p.replace("'", "''") + "'" for k, p in protect.SPANS.items()}
+_ABOUT = r"(?i)\b(?:rewrit[\p{L}0-9_]*|rewrote)\b"
+
+
+def _of(column: str) -> str:
+    """The sentences of a column that isn't null."""
+    return _SENT.replace("coalesce(text,'')", column)
+
+
+_GATE = f"""WITH c AS (SELECT doc_id, coalesce(text, '') AS o, trim(CASE WHEN doc_id % 2 = 1 THEN regexp_replace(coalesce(text, ''), '[0-9]', '', 'g') ELSE regexp_replace(coalesce(text, ''), '^[^\n]*\n', '') END, ' ') AS k FROM documents),
+ n AS (SELECT *, list_concat(list_concat(regexp_extract_all(o, {_Q['quote']}), regexp_extract_all(o, {_Q['number']})), regexp_extract_all(o, {_Q['code/url']})) AS spans FROM c),
+ r AS (SELECT doc_id, CASE WHEN trim(k, ' ') = '' THEN 'empty' WHEN length(k) / greatest(length(o), 1) < 0.6 THEN 'too_short' WHEN length(k) / greatest(length(o), 1) > 1.6 THEN 'too_long'
+ WHEN len(list_filter(spans, lambda s: NOT contains(lower(k), regexp_replace(lower(trim(s, ' ')), '^["\u201C\u201D\u2018\u2019]+|["\u201C\u201D\u2018\u2019]+$', '', 'g')))) > 0 THEN 'missing_protected_span'
+ WHEN regexp_matches(k, '{_ABOUT}') AND NOT regexp_matches(o, '{_ABOUT}') THEN 'meta_comment'
+ WHEN greatest(len({_of('k')}), 1) < greatest(1, round_even(0.6 * greatest(len({_of('o')}), 1), 0)) THEN 'too_few_sentences' END AS reason FROM n)"""
+_ONE_OF_A_RUN = "x"
+for _digit in "123456":
+    _ONE_OF_A_RUN = f"regexp_replace({_ONE_OF_A_RUN}, '{_digit}+', '{_digit}', 'g')"
+#: Sound codes: letters as digits (fixed values), 7 for those that don't part equal digits, runs taken once, vowels left out.
+_SOUNDS = f"""digits AS (SELECT lower, translate(regexp_replace(lower, '[^a-z]', '0', 'g'), 'abcdefghijklmnopqrstuvwxyz', '01230127022455012623017202') AS x
+ FROM zipf WHERE length(lower) >= 4 AND regexp_matches(lower, '^[a-z]')),
+ joined AS (SELECT lower, left(x, 1) || replace(substr(x, 2), '7', '') AS x FROM digits),
+ sounds AS (SELECT lower, upper(left(lower, 1)) || rpad(left(replace(substr({_ONE_OF_A_RUN}, 2), '0', ''), 3), 3, '0') AS code FROM joined)"""
+
 _TOKENS = r"""WITH ch AS (SELECT doc_id, unnest(cs) AS chunk, generate_subscripts(cs, 1) AS ci FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*|[.!?\n]+') AS cs FROM documents)),
  cf AS (SELECT *, sum(length(chunk)) OVER d - length(chunk) AS f, sum(regexp_matches(chunk, '\n\n')::INT) OVER d AS blanks, sum(contains(chunk, chr(10))::INT) OVER d AS ends, max(regexp_matches(chunk, '\n\n')::INT) OVER (PARTITION BY doc_id) AS has FROM ch WINDOW d AS (PARTITION BY doc_id ORDER BY ci)),
  st AS (SELECT *, CASE WHEN has > 0 THEN blanks ELSE ends END AS para_no, row_number() OVER (PARTITION BY doc_id ORDER BY ci) - 1 AS sent_index FROM cf WHERE regexp_matches(chunk, '[\p{L}\p{N}]')),
@@ -246,6 +269,8 @@ ORACLE = {
     "triggers_by_kind": f"{_TRIGGERS} SELECT coalesce(profile, 'all') AS profile, coalesce(kind, 'all') AS kind, count(*) AS triggers FROM triggers GROUP BY ROLLUP (profile, kind)",
     "load_vs_quality": f"{_LOAD} SELECT profile, quality, count(*) AS documents, round(avg(load), 2) AS mean_load FROM load JOIN labels USING (doc_id) GROUP BY ALL",
     "lookalike_pairs": f"{_WORDS}, {_ZIPF}, {_PAIRS} SELECT * FROM pairs",
+    "soundalike_classes": f"""{_WORDS}, {_ZIPF}, {_SOUNDS}
+ SELECT code, count(*) AS words, min(lower) AS first_word, max(lower) AS last_word FROM sounds GROUP BY code HAVING count(*) > 1""",
     "near_pair_triggers": f"""{_WORDS}, {_ZIPF}, {_PAIRS}, both_ways AS (SELECT word, other FROM pairs UNION ALL SELECT other, word FROM pairs)
  SELECT doc_id, sent_index, tok_i, lower, f.other AS other, f.p_sent AS p_sent FROM (SELECT t.doc_id, t.sent_index, t.tok_i, t.lower, min({{'p_sent': e.sent_index, 'p_tok': e.tok_i, 'other': e.lower}}) AS f
  FROM toks t JOIN both_ways b ON t.lower = b.word JOIN toks e ON e.doc_id = t.doc_id AND e.lower = b.other
@@ -289,11 +314,9 @@ ORACLE = {
  h AS (SELECT *, regexp_matches(line, '^\S+( \S+){0,2}$') AS head FROM l), s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS section, sum(head::INT) OVER (PARTITION BY doc_id) AS heads FROM h),
  b AS (SELECT doc_id, section, coalesce(max(trim(regexp_replace(line, '^#+\s*', ''), ' ')) FILTER (head), '') AS title, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT head), ''), '^\s+|\s+$', '', 'g') AS body FROM s WHERE section > 0 OR heads = 0 GROUP BY doc_id, section)
  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section) AS chapter, title, length(body) AS chars FROM b WHERE body <> ''""",
-    "gate_reasons": f"""WITH c AS (SELECT doc_id, coalesce(text, '') AS o, trim(CASE WHEN doc_id % 2 = 1 THEN regexp_replace(coalesce(text, ''), '[0-9]', '', 'g') ELSE regexp_replace(coalesce(text, ''), '^[^\n]*\n', '') END, ' ') AS k FROM documents),
- n AS (SELECT *, list_concat(list_concat(regexp_extract_all(o, {_Q['quote']}), regexp_extract_all(o, {_Q['number']})), regexp_extract_all(o, {_Q['code/url']})) AS spans FROM c),
- r AS (SELECT doc_id, CASE WHEN trim(k, ' ') = '' THEN 'empty' WHEN length(k) / greatest(length(o), 1) < 0.6 THEN 'too_short' WHEN length(k) / greatest(length(o), 1) > 1.6 THEN 'too_long'
- WHEN len(list_filter(spans, lambda s: NOT contains(lower(k), regexp_replace(lower(trim(s, ' ')), '^["\u201C\u201D\u2018\u2019]+|["\u201C\u201D\u2018\u2019]+$', '', 'g')))) > 0 THEN 'missing_protected_span' END AS reason FROM n)
- SELECT coalesce(reason, 'later') AS reason, count(*) AS documents FROM r GROUP BY ALL""",
+    "gate_reasons": _GATE + """ SELECT CASE WHEN reason IN ('empty', 'too_short', 'too_long', 'missing_protected_span') THEN reason ELSE 'later' END AS reason, count(*) AS documents
+ FROM r GROUP BY ALL""",
+    "fidelity_gate": _GATE + " SELECT coalesce(reason, 'accepted') AS reason, count(*) AS documents FROM r GROUP BY ALL",
     "sentence_starters": _POSTS + """, f AS (SELECT author, lower(words[1]) AS starter, count(*) AS n FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY n DESC, starter) AS place FROM f)
  SELECT author, starter, n FROM r WHERE place <= 40 AND n >= 3""",
     "reader_vocabularies": _POSTS + " SELECT author, lower(w) AS lower, count(*) AS n FROM (SELECT author, unnest(words) AS w FROM s) GROUP BY ALL HAVING count(*) >= 2",
