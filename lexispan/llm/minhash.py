@@ -226,6 +226,8 @@ def links(docs: DataFrame, reps: DataFrame, k: int, threshold: float) -> DataFra
     found, start = [], reps.select("rep", F.col("rep").alias("label"), "signature", "size")
     for trees in ROUNDS:
         found = [written(_all(_grow(docs, reps, start, trees, k, threshold, found)), "links")]
+        if trees == ROUNDS[-1]:
+            break
         label = components(found[0])
         start = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label"), "signature", "size")
     return found[0]
