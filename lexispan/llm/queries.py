@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, minhash, mixing, packing, quality, sketch, suffixes, tokencount, warc
+from . import chat, licenses, minhash, mixing, packing, periodic, quality, sketch, suffixes, tokencount, warc, whitening, windows
 from .common import table
 from .oracles import ORACLE
 
@@ -60,6 +60,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.event_log(rows)))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.collapse_runs(periodic.repeating_tails(table(spark, sf_dir, "documents")), min_length=24, times=3))
+
+
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = packing.Encoder.vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    return windows.pack_windows(table(spark, sf_dir, "documents"), vocabulary, room=2048, end_id=1)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -72,6 +85,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_warc_archives": op9_warc_archives,
         "op10_chat_formatting": op10_chat_formatting,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_window_packing": op12_window_packing,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
