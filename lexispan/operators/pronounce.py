@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .intervals import first_come
+
 #: Letters for sounds (fixed values).
 VOWELS = {"AA": "ah", "AE": "a", "AH": "uh", "AO": "aw", "AW": "ow", "AY": "y", "EH": "e", "ER": "ur", "EY": "ay", "IH": "i", "IY": "ee", "OW": "oh", "OY": "oy", "UH": "uu", "UW": "oo"}
 CONSONANTS = {"B": "b", "CH": "ch", "D": "d", "DH": "th", "F": "f", "G": "g", "HH": "h", "JH": "j", "K": "k", "L": "l", "M": "m", "N": "n", "NG": "ng", "P": "p", "R": "r", "S": "s", "SH": "sh", "T": "t", "TH": "th", "V": "v", "W": "w", "Y": "y", "Z": "z", "ZH": "zh"}
@@ -80,10 +82,9 @@ def phonetic_map(found: DataFrame, profiles: DataFrame, respellings: DataFrame,
 
 
 def excerpt(paragraphs: DataFrame, entries: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """(paragraphs, entries): whole paragraphs (doc_id, para_no, start, end, words) until so many words, and the entries inside that overlap no earlier one."""
+    """(paragraphs, entries): whole paragraphs (doc_id, para_no, start, end, words) until so many words, and the entries inside that overlap no earlier one that is kept itself."""
     before = F.sum("words").over(Window.partitionBy("doc_id").orderBy("para_no")) - F.col("words")
     kept = paragraphs.withColumn("before", before).filter(F.col("before") < words).drop("before")
     ends = kept.groupBy("doc_id").agg(F.max("end").alias("limit"))
     inside = entries.join(ends, "doc_id").filter(F.col("end") <= F.col("limit")).drop("limit")
-    prior = F.max("end").over(Window.partitionBy("doc_id", "profile").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
-    return kept, inside.withColumn("prior", prior).filter("prior is null or prior <= start").drop("prior")
+    return kept, first_come(inside, ["doc_id", "profile"], ["start"])

@@ -41,21 +41,26 @@ def exported_posts(rows: DataFrame) -> DataFrame:
 def chapters(docs: DataFrame, heading: str = CHAPTER_HEADING) -> DataFrame:
     """doc_id, chapter, title and body: what follows a line that matches heading; a text without one is one chapter without a title.
 
-    Text before the first heading and chapters without a body are dropped."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
-    order = Window.partitionBy("doc_id").orderBy("i")
+    Text before the first heading and chapters without a body are dropped. Every row of docs is cut up by itself, so rows that share a doc_id, or have none, don't mix."""
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    lines = numbered.select("doc_id", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
+    order = Window.partitionBy("row").orderBy("i")
     lines = lines.withColumn("head", F.col("line").rlike(heading)).withColumn("section", F.sum(F.col("head").cast("int")).over(order))
-    lines = lines.withColumn("heads", F.max("section").over(Window.partitionBy("doc_id"))).filter("section > 0 or heads = 0")
+    lines = lines.withColumn("heads", F.max("section").over(Window.partitionBy("row"))).filter("section > 0 or heads = 0")
     title = F.max(F.when(F.col("head"), F.trim(F.regexp_replace("line", r"^#+\s*", ""))))
-    parts = lines.groupBy("doc_id", "section").agg(title.alias("title"), F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("i", "line")))).alias("ls"))
+    parts = lines.groupBy("doc_id", "row", "section").agg(title.alias("title"), F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("i", "line")))).alias("ls"))
     parts = parts.withColumn("body", F.trim(F.regexp_replace(F.array_join(F.transform("ls", lambda x: x.line), "\n"), r"\A\s+|\s+\z", ""))).filter("body != ''")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("section"))
+    number = F.row_number().over(Window.partitionBy("row").orderBy("section"))
     return parts.select("doc_id", number.cast("long").alias("chapter"), F.coalesce("title", F.lit("")).alias("title"), "body")
 
 
 def seeded(known: DataFrame, seeds: DataFrame) -> DataFrame:
-    """known with seeds (slug, title, body) put in or over by slug; words are counted anew. Of a slug that comes twice the greater body counts."""
-    fresh = seeds.groupBy("slug").agg(F.max_by("title", "body").alias("title"), F.max("body").alias("body")).withColumn("words", F.size(X.white_words(F.col("body"))))
+    """known with seeds (slug, title, body, and at where there is an order) put in or over by slug; words are counted anew.
+
+    Of a slug that comes twice the last seed counts: the greatest at, or the last row of a file where there is no such column."""
+    order = F.col("at") if "at" in seeds.columns else F.monotonically_increasing_id()
+    last = seeds.withColumn("seed_order", order).groupBy("slug").agg(F.max_by(F.struct("title", "body"), "seed_order").alias("s"))
+    fresh = last.select("slug", "s.title", "s.body").withColumn("words", F.size(X.white_words(F.col("body"))))
     return known.join(fresh.select("slug"), "slug", "left_anti").select("slug", "title", "body", "words").unionByName(fresh)
 
 
