@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lexispan.functions import text as X
 from lexispan.operators import detectors as D
-from lexispan.operators import protect, rewrite, style, token_table, tokens
+from lexispan.operators import load, protect, rewrite, style, token_table, tokens
 from lexispan.sources import documents as S
 from lexispan.sources import pages as P
+from lexispan.sources.scratch import stored
 
 QUOTA = 2000
 CHUNK_WORDS = 200
@@ -25,10 +26,14 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.word_table(_t(spark, sf_dir, "documents"))
 
 
-def _triggers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    counts, readers = D.word_counts(_words(spark, sf_dir)), D.profiles(spark, ZIPF_SHIFT)
-    rare = D.rare_words(counts, D.zipf_of(counts), readers)
-    return rare.unionByName(D.long_words(counts, readers)).unionByName(D.long_sentences(counts, readers)), counts, readers
+def _numbers(spark: SparkSession, sf_dir: str, *keep: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Units of all documents and their frequencies as tables, and the built-in profiles as readers."""
+    rows = stored(load.units(_t(spark, sf_dir, "documents"), keep), "units")
+    return rows, stored(load.zipf_hundredths(rows), "zipf"), load.in_hundredths(D.profiles(spark, ZIPF_SHIFT))
+
+
+def _loads(rows: DataFrame, zipf: DataFrame, readers: DataFrame, *by: str) -> DataFrame:
+    return load.loads(load.cumulated(load.histograms(rows, zipf, by, load.loosest(readers)), by), readers, by)
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,20 +58,38 @@ def quota_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.reading_load(*_triggers(spark, sf_dir))
+    return _loads(*_numbers(spark, sf_dir, "doc_id"), "doc_id").select("doc_id", "profile", "words", "triggers", "load")
+
+
+def load_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source of documents costs each writer of conversations.
+
+    A writer's longest sentence is the upper quartile of their own, within 8 and 28; their longest word has twice the letters of their
+    mean word, within 8 and 14; and the more they repeat themselves, the rarer a word may be."""
+    rows, zipf, _ = _numbers(spark, sf_dir, "source")
+    own = style.style_report(_posts(spark, sf_dir))
+    within = lambda c, low, high: F.least(F.greatest(c, F.lit(low)), F.lit(high)).cast("int")
+    least = F.lit(500) - F.expr("(10000 - cast(round(10000 * type_token) as bigint)) div 100")
+    weights = F.create_map(*[F.lit(x) for kv in D.PROFILES[0][4].items() for x in kv])
+    readers = own.select(F.col("author").alias("profile"), least.alias("min_zipf"), within(F.ceil(2 * F.col("word_length")), 8, 14).alias("max_word_length"), within(F.bround("p75"), 8, 28).alias("max_sentence_words"), weights.alias("weights"))
+    return _loads(rows, zipf, stored(readers, "readers"), "source").select("source", F.col("profile").alias("author"), "words", "rare", "long", "syntax", "load")
 
 
 def top_flagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.top_words(_triggers(spark, sf_dir)[0])
+    return load.flagged_words(*_numbers(spark, sf_dir))
 
 
 def triggers_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.by_kind(_triggers(spark, sf_dir)[0])
+    """Counts of triggers by profile and kind, with totals."""
+    found = _loads(*_numbers(spark, sf_dir))
+    each = found.select("profile", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in load.KINDS]))).filter("n > 0")
+    out = each.rollup("profile", "kind").agg(F.sum("n").alias("triggers"))
+    return out.select(F.coalesce("profile", F.lit("all")).alias("profile"), F.coalesce("kind", F.lit("all")).alias("kind"), "triggers")
 
 
 def load_vs_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    load = load_by_document(spark, sf_dir).join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return load.groupBy("profile", "quality").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("load"), 2).alias("mean_load"))
+    joined = load_by_document(spark, sf_dir).join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return joined.groupBy("profile", "quality").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("load"), 2).alias("mean_load"))
 
 
 def lookalike_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,6 +291,17 @@ ORACLE = {
  SELECT profile, lower, flagged, row_number() OVER (PARTITION BY profile ORDER BY flagged DESC, lower) AS place FROM c QUALIFY place <= 15""",
     "triggers_by_kind": f"{_TRIGGERS} SELECT coalesce(profile, 'all') AS profile, coalesce(kind, 'all') AS kind, count(*) AS triggers FROM triggers GROUP BY ROLLUP (profile, kind)",
     "load_vs_quality": f"{_LOAD} SELECT profile, quality, count(*) AS documents, round(avg(load), 2) AS mean_load FROM load JOIN labels USING (doc_id) GROUP BY ALL",
+    "load_by_source": f"""{_WORDS}, {_ZIPF}, psents AS (SELECT conv_id AS author, unnest({_SENT}) AS sentence FROM conversations WHERE role = 'user'),
+ ps AS (SELECT author, regexp_extract_all(sentence, '\\p{{L}}+') AS words FROM psents WHERE regexp_matches(sentence, '\\p{{L}}')), pw AS (SELECT author, unnest(words) AS word FROM ps),
+ r AS (SELECT author, 500 - (10000 - round(10000 * round(count(DISTINCT lower(word)) / count(*), 4))::BIGINT) // 100 AS m, least(greatest(ceil(2 * round(avg(length(word)), 4)), 8), 14)::BIGINT AS letters FROM pw GROUP BY author),
+ q AS (SELECT author, least(greatest(round_even(round(quantile_cont(len(words), 0.75), 4), 0), 8), 28)::BIGINT AS most FROM ps GROUP BY author), rd AS (SELECT * FROM r JOIN q USING (author)),
+ t AS (SELECT source, length(word) AS size, round(100 * zipf)::BIGINT AS z, count(*) AS n FROM toks JOIN documents USING (doc_id) JOIN zipf USING (lower) GROUP BY ALL),
+ l AS (SELECT source, words, count(*) AS n FROM (SELECT source, doc_id, sent_index, count(*) AS words FROM toks JOIN documents USING (doc_id) GROUP BY ALL) GROUP BY ALL),
+ a AS (SELECT source, author, sum(n)::BIGINT AS words, coalesce(sum(n) FILTER (z > 0 AND z < m), 0)::BIGINT AS rare, coalesce(sum(n * least(200, m - z + 60)) FILTER (z > 0 AND z < m), 0)::BIGINT AS rs,
+  coalesce(sum(n) FILTER (size > letters), 0)::BIGINT AS long, coalesce(sum(n * least(10, 3 + size - letters)) FILTER (size > letters), 0)::BIGINT AS ls FROM t, rd GROUP BY ALL),
+ b AS (SELECT source, author, coalesce(sum(n) FILTER (words > most), 0)::BIGINT AS syntax, coalesce(sum(n * least(60, 25 + 2 * (words - most))) FILTER (words > most), 0)::BIGINT AS ss FROM l, rd GROUP BY ALL)
+ SELECT a.source, a.author, words, rare, long, syntax, ((2 * (round(0.7::DOUBLE * rs * 50)::BIGINT + round(0.6::DOUBLE * ls * 1000)::BIGINT + round(0.9::DOUBLE * ss * 100)::BIGINT) + words) // (2 * words)) / 100.0::DOUBLE AS load
+ FROM a JOIN b ON a.author = b.author AND a.source IS NOT DISTINCT FROM b.source""",
     "lookalike_pairs": f"{_WORDS}, {_ZIPF}, {_PAIRS} SELECT * FROM pairs",
     "soundalike_classes": f"""{_WORDS}, {_ZIPF}, {_SOUNDS}
  SELECT code, count(*) AS words, min(lower) AS first_word, max(lower) AS last_word FROM sounds GROUP BY code HAVING count(*) > 1""",
@@ -307,7 +341,7 @@ ORACLE = {
     "author_connectives": _POSTS + f""", w AS (SELECT author, lower(unnest(words)) AS connective FROM s), c AS (SELECT author, connective, count(*) AS n FROM w WHERE connective IN {style.CONNECTIVES} GROUP BY ALL)
  SELECT author, connective, n FROM c QUALIFY row_number() OVER (PARTITION BY author ORDER BY n DESC, connective) <= 20""",
     "token_offsets": f"{_TOKENS} SELECT doc_id, para_no, sent_index, tok_i, start, \"end\", lower FROM tk",
-    "protected_offsets": f"WITH {_SPANS} SELECT doc_id, why, start, \"end\", span FROM sp",
+    "protected_offsets": f"""WITH {_SPANS} SELECT doc_id, why, start, "end", span, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, list_position(['quote', 'number', 'code/url'], why)) - 1 AS place FROM sp""",
     "clean_texts": r"""WITH u AS (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^#{1,6}\s*', '', 'g'), '[*_`]{1,3}', '', 'g'), '\r\n?', chr(10), 'g'), '\n\s*\n') AS ps FROM documents)
  SELECT doc_id, md5(array_to_string(list_filter(list_transform(ps, lambda p: trim(regexp_replace(p, '\s*\n\s*', ' ', 'g'), ' ')), lambda p: p <> ''), chr(10) || chr(10))) AS digest FROM u""",
     "chapter_lengths": r"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
@@ -332,7 +366,7 @@ ORACLE = {
 QUERIES = {
     f.__name__: f
     for f in (
-        zipf_table, unit_counts, chapter_chunks, quota_cut, load_by_document, top_flagged_words, triggers_by_kind, load_vs_quality, lookalike_pairs, soundalike_classes, near_pair_triggers,
+        zipf_table, unit_counts, chapter_chunks, quota_cut, load_by_document, load_by_source, top_flagged_words, triggers_by_kind, load_vs_quality, lookalike_pairs, soundalike_classes, near_pair_triggers,
         ambiguity_triggers, personal_triggers, ranked_alternatives, substituted_sentences, protected_spans, fidelity_gate, dedupe_keys, rewrite_costs, style_report, learned_profiles, sentence_starters, reader_vocabularies, article_texts, url_admission,
         token_offsets, protected_offsets, clean_texts, chapter_lengths, gate_reasons, author_connectives, imported_pages,
     )
