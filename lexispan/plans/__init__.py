@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mapped, reading, service
+from . import mapped, reading, rules, service
 
 
 def queries() -> dict:
-    return {**reading.QUERIES, **service.QUERIES, **mapped.QUERIES}
+    return {**reading.QUERIES, **rules.QUERIES, **service.QUERIES, **mapped.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**reading.ORACLE, **service.ORACLE, **mapped.ORACLE}
+    return {**reading.ORACLE, **rules.ORACLE, **service.ORACLE, **mapped.ORACLE}
