@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexispan.functions import text as X
 from lexispan.operators import detectors as D
-from lexispan.operators import load, protect, rewrite, style, token_table, tokens
+from lexispan.operators import load, protect, rewrite, sounds, style, token_table, tokens
 from lexispan.sources import documents as S
 from lexispan.sources import pages as P
 from lexispan.sources.scratch import stored
@@ -100,6 +100,10 @@ def soundalike_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.soundalike_classes(tokens.zipf_table(_words(spark, sf_dir)))
 
 
+def sound_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sounds.sound_classes(tokens.zipf_table(_words(spark, sf_dir)))
+
+
 def near_pair_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _words(spark, sf_dir)
     return D.near_pairs(words, D.lookalike_pairs(tokens.zipf_table(words)))
@@ -260,6 +264,30 @@ _SOUNDS = f"""digits AS (SELECT lower, translate(regexp_replace(lower, '[^a-z]',
  joined AS (SELECT lower, left(x, 1) || replace(substr(x, 2), '7', '') AS x FROM digits),
  sounds AS (SELECT lower, upper(left(lower, 1)) || rpad(left(replace(substr({_ONE_OF_A_RUN}, 2), '0', ''), 3), 3, '0') AS code FROM joined)"""
 
+
+
+def metaphone_of(words: str) -> str:
+    """SQL tables that end with sounds (lower, code) of the words of four letters or more of a table of distinct words (lower)."""
+    at = lambda k: f"substr(p, i + {k}, 1)" if k >= 0 else f"substr(p, i - {-k}, 1)"
+    c, b, a, n = at(0), at(-1), at(1), at(2)
+    soft, vowels = "('e', 'i', 'y')", "('a', 'e', 'i', 'o', 'u')"
+    return f"""mp AS (SELECT lower, regexp_replace(lower, '[^a-z]', '', 'g') AS o FROM {words} WHERE length(lower) >= 4),
+ mq AS (SELECT lower, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(o, '^ae', 'e'), '^[gkp]n', 'n'), '^wr', 'r'), '^wh', 'w'), '^x', 's') AS o FROM mp),
+ mr AS (SELECT lower, '^^' || o || '$$$$' AS p, length(o) AS n FROM mq),
+ ms AS (SELECT lower, array_to_string(list_transform(range(3, n + 3), lambda i: CASE WHEN {c} = {b} AND {c} <> 'c' THEN '' WHEN {c} IN {vowels} THEN CASE WHEN i = 3 THEN upper({c}) ELSE '' END
+  WHEN {c} = 'b' THEN CASE WHEN {b} = 'm' AND {a} = '$' THEN '' ELSE 'B' END
+  WHEN {c} = 'c' THEN CASE WHEN {a} = 'i' AND {n} = 'a' THEN 'X' WHEN {a} = 'h' AND {b} = 's' THEN 'K' WHEN {a} = 'h' THEN 'X' WHEN {a} IN {soft} AND {b} = 's' THEN '' WHEN {a} IN {soft} THEN 'S' ELSE 'K' END
+  WHEN {c} = 'd' THEN CASE WHEN {a} = 'g' AND {n} IN {soft} THEN 'J' ELSE 'T' END
+  WHEN {c} = 'g' THEN CASE WHEN {a} = 'h' THEN CASE WHEN {n} IN {vowels} OR {n} = '$' THEN 'K' ELSE '' END WHEN substr(p, i + 1, 2) = 'n$' OR substr(p, i + 1, 4) = 'ned$' OR ({b} = 'd' AND {a} IN {soft}) THEN '' WHEN {a} IN {soft} THEN 'J' ELSE 'K' END
+  WHEN {c} = 'h' THEN CASE WHEN {b} IN ('c', 's', 'p', 't', 'g') OR ({b} IN {vowels} AND {a} NOT IN {vowels}) THEN '' ELSE 'H' END
+  WHEN {c} = 'k' THEN CASE WHEN {b} = 'c' THEN '' ELSE 'K' END WHEN {c} = 'p' THEN CASE WHEN {a} = 'h' THEN 'F' ELSE 'P' END
+  WHEN {c} = 's' THEN CASE WHEN {a} = 'h' OR ({a} = 'i' AND {n} IN ('o', 'a')) THEN 'X' ELSE 'S' END
+  WHEN {c} = 't' THEN CASE WHEN {a} = 'i' AND {n} IN ('a', 'o') THEN 'X' WHEN {a} = 'h' THEN '0' WHEN {a} = 'c' AND {n} = 'h' THEN '' ELSE 'T' END
+  WHEN {c} IN ('w', 'y') THEN CASE WHEN {a} IN {vowels} THEN upper({c}) ELSE '' END
+  WHEN {c} IN ('q') THEN 'K' WHEN {c} = 'v' THEN 'F' WHEN {c} = 'x' THEN 'KS' WHEN {c} = 'z' THEN 'S' ELSE upper({c}) END), '') AS code FROM mr),
+ sounds AS (SELECT lower, code FROM ms WHERE code <> '')"""
+
+
 _TOKENS = r"""WITH ch AS (SELECT doc_id, unnest(cs) AS chunk, generate_subscripts(cs, 1) AS ci FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*|[.!?\n]+') AS cs FROM documents)),
  cf AS (SELECT *, sum(length(chunk)) OVER d - length(chunk) AS f, sum(regexp_matches(chunk, '\n\n')::INT) OVER d AS blanks, sum(contains(chunk, chr(10))::INT) OVER d AS ends, max(regexp_matches(chunk, '\n\n')::INT) OVER (PARTITION BY doc_id) AS has FROM ch WINDOW d AS (PARTITION BY doc_id ORDER BY ci)),
  st AS (SELECT *, CASE WHEN has > 0 THEN blanks ELSE ends END AS para_no, row_number() OVER (PARTITION BY doc_id ORDER BY ci) - 1 AS sent_index FROM cf WHERE regexp_matches(chunk, '[\p{L}\p{N}]')),
@@ -304,6 +332,8 @@ ORACLE = {
  FROM a JOIN b ON a.author = b.author AND a.source IS NOT DISTINCT FROM b.source""",
     "lookalike_pairs": f"{_WORDS}, {_ZIPF}, {_PAIRS} SELECT * FROM pairs",
     "soundalike_classes": f"""{_WORDS}, {_ZIPF}, {_SOUNDS}
+ SELECT code, count(*) AS words, min(lower) AS first_word, max(lower) AS last_word FROM sounds GROUP BY code HAVING count(*) > 1""",
+    "sound_classes": f"""{_WORDS}, {_ZIPF}, {metaphone_of('zipf')}
  SELECT code, count(*) AS words, min(lower) AS first_word, max(lower) AS last_word FROM sounds GROUP BY code HAVING count(*) > 1""",
     "near_pair_triggers": f"""{_WORDS}, {_ZIPF}, {_PAIRS}, both_ways AS (SELECT word, other FROM pairs UNION ALL SELECT other, word FROM pairs)
  SELECT doc_id, sent_index, tok_i, lower, f.other AS other, f.p_sent AS p_sent FROM (SELECT t.doc_id, t.sent_index, t.tok_i, t.lower, min({{'p_sent': e.sent_index, 'p_tok': e.tok_i, 'other': e.lower}}) AS f
@@ -366,7 +396,7 @@ ORACLE = {
 QUERIES = {
     f.__name__: f
     for f in (
-        zipf_table, unit_counts, chapter_chunks, quota_cut, load_by_document, load_by_source, top_flagged_words, triggers_by_kind, load_vs_quality, lookalike_pairs, soundalike_classes, near_pair_triggers,
+        zipf_table, unit_counts, chapter_chunks, quota_cut, load_by_document, load_by_source, top_flagged_words, triggers_by_kind, load_vs_quality, lookalike_pairs, soundalike_classes, sound_classes, near_pair_triggers,
         ambiguity_triggers, personal_triggers, ranked_alternatives, substituted_sentences, protected_spans, fidelity_gate, dedupe_keys, rewrite_costs, style_report, learned_profiles, sentence_starters, reader_vocabularies, article_texts, url_admission,
         token_offsets, protected_offsets, clean_texts, chapter_lengths, gate_reasons, author_connectives, imported_pages,
     )

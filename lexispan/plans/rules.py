@@ -190,7 +190,7 @@ _ALL = _TAGGED + rf""",
    WHEN tag = 'VBZ' THEN CASE WHEN regexp_matches(word, '(s|sh|ch|x|z)$') THEN word || 'es' WHEN regexp_matches(word, '[^aeiou]y$') THEN left(word, length(word) - 1) || 'ies' ELSE word || 's' END
    WHEN tag = 'VBG' THEN CASE WHEN word LIKE '%ie' THEN left(word, length(word) - 2) || 'ying' WHEN word LIKE '%e' AND word NOT IN ('be', 'see', 'flee') THEN left(word, length(word) - 1) || 'ing' ELSE word || 'ing' END ELSE word END] AS alts,
   '' AS related, 'VERB' AS pos, NULL::VARCHAR AS tag, NULL::VARCHAR AS hint FROM nx JOIN ph ON ph.word = nx.lemma AND ph.after = nx.n_lower LEFT JOIN gone ON gone.lower = ph.word, pr WHERE pos IN ('VERB', 'AUX') AND regexp_matches(n_text, '[\p{{L}}\p{{N}}]')),
- {reading._SOUNDS.replace("FROM zipf", "FROM (SELECT word AS lower FROM lx)")},
+ {reading.metaphone_of("(SELECT word AS lower FROM lx)")},
  pt AS (SELECT word, other, min(r) AS r FROM (SELECT a.word, b.word AS other, 0 AS r FROM lx a JOIN lx b ON (a.r % 10 = 1 AND b.r = a.r + 1) OR (b.r % 10 = 1 AND a.r = b.r + 1)
   UNION ALL SELECT a.lower, b.lower, 1 FROM sounds a JOIN sounds b ON a.code = b.code AND a.lower <> b.lower AND abs(length(a.lower) - length(b.lower)) <= 2
   UNION ALL SELECT a.word, b.word, 2 FROM lx a JOIN lx b ON damerau_levenshtein(a.word, b.word) = 1) GROUP BY ALL),
@@ -207,9 +207,11 @@ _ALL = _TAGGED + rf""",
   FROM (SELECT doc_id, sent_index, min(start) AS start, max("end") AS "end", count(*) FILTER (alpha OR num) AS n FROM tg GROUP BY ALL), pr WHERE n > ms),
  tr AS (SELECT * REPLACE (score::DOUBLE AS score), round(score::DOUBLE * w::DOUBLE, 6) AS weighted FROM (FROM pe UNION ALL FROM am UNION ALL FROM pv UNION ALL FROM he UNION ALL FROM np UNION ALL FROM ra UNION ALL FROM lo UNION ALL FROM sy) JOIN wt USING (profile, kind))"""
 _ACCEPTED = _ALL + rf""", {reading._SPANS},
- c0 AS (SELECT tr.doc_id, profile, tr.sent_index, tr.start, tr."end", tr.text, alts[1] AS alt, kind, list_position(['personal', 'phrasal', 'ambiguity'], kind) AS rank, f.tok_i AS a, l.tok_i AS b FROM tr JOIN tk f ON f.doc_id = tr.doc_id AND f.start = tr.start JOIN tk l ON l.doc_id = tr.doc_id AND l."end" = tr."end"
-  WHERE kind IN ('personal', 'phrasal', 'ambiguity') AND len(alts) > 0 AND weighted >= {edits.SUBSTITUTE_FROM} AND NOT EXISTS (SELECT 1 FROM sp WHERE sp.doc_id = tr.doc_id AND sp.start < tr."end" AND tr.start < sp."end")),
- c1 AS (SELECT doc_id, profile, sent_index, list([{{'a': a, 'b': b, 'start': start, 'end': "end", 'text': text, 'alt': alt, 'kind': kind}}] ORDER BY rank, start, "end" DESC) AS c FROM c0 GROUP BY ALL),
+ cw AS MATERIALIZED (SELECT tr.*, f.tok_i AS a FROM (SELECT * FROM tr WHERE kind IN ('personal', 'phrasal', 'ambiguity') AND len(alts) > 0 AND weighted >= {edits.SUBSTITUTE_FROM}) tr JOIN tk f ON f.doc_id = tr.doc_id AND f.start = tr.start ANTI JOIN sp ON sp.doc_id = tr.doc_id AND sp.start < tr."end" AND tr.start < sp."end"),
+ c0 AS (SELECT w.doc_id, profile, w.sent_index, w.start, w."end", w.text, alts[1] AS alt, kind, list_position(['personal', 'phrasal', 'ambiguity'], kind) AS rank, a, l.tok_i AS b FROM cw w JOIN tk l ON l.doc_id = w.doc_id AND l."end" = w."end"),
+ ca AS (SELECT *, (a > coalesce(max(b) OVER (PARTITION BY doc_id, profile, sent_index ORDER BY a, b DESC, rank, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1))::INT AS new FROM (SELECT *, row_number() OVER () AS i FROM c0)),
+ cb AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, profile, sent_index ORDER BY a, b DESC, rank, i ROWS UNBOUNDED PRECEDING) AS island FROM ca),
+ c1 AS (SELECT doc_id, profile, sent_index, island, list([{{'a': a, 'b': b, 'start': start, 'end': "end", 'text': text, 'alt': alt, 'kind': kind}}] ORDER BY rank, start, "end" DESC) AS c FROM cb GROUP BY ALL),
  c2 AS (SELECT doc_id, profile, sent_index, unnest(list_reduce(c, lambda got, x: CASE WHEN len(list_filter(got, lambda y: y.a <= x[1].b AND x[1].a <= y.b)) > 0 THEN got ELSE list_concat(got, x) END)) AS x FROM c1),
  ac AS (SELECT doc_id, profile, sent_index, x.a AS a, x.b AS b, x.start AS start, x."end" AS "end", x.text AS text, CASE WHEN regexp_matches(x.text, '^\p{{Lu}}{{2,}}$') THEN upper(x.alt) WHEN regexp_matches(x.text, '^\p{{Lu}}') THEN upper(left(x.alt, 1)) || substr(x.alt, 2) ELSE x.alt END AS replacement, x.kind AS kind FROM c2)"""
 _COLUMNS = "doc_id, profile, kind, sent_index, start, \"end\", text, score, weighted, array_to_string(alts, '|') AS alternatives, related, pos, tag, hint"

@@ -133,14 +133,14 @@ def test_gate_cache_and_costs(spark):
 def test_pronunciations(spark):
     p = frame(spark, "word string, variant int, phones array<string>", ("wind", 0, ["W", "IH1", "N", "D"]), ("wind", 1, ["W", "AY1", "N", "D"]), ("harvest", 0, ["HH", "AA1", "R", "V", "AH0", "S", "T"]), ("quiet", 0, ["K", "W", "AY1", "AH0", "T"]), ("office", 0, ["AO1", "F", "AH0", "S"]), ("extra", 0, ["EH1", "K", "S", "T", "R", "AH0"]), ("honey", 0, ["HH", "AH1", "N", "IY0"]))
     said = pronounce.respelled(p).cache()
-    assert {(r.word, r.variant): r.respelling for r in said.collect()} == {("wind", 0): "WIND", ("wind", 1): "WYND", ("harvest", 0): "HAHR-vuhst", ("quiet", 0): "KWY-uht", ("office", 0): "AW-fuhs", ("extra", 0): "EK-struh", ("honey", 0): "HUHN-ee"}
+    assert {(r.word, r.variant): r.respelling for r in said.collect()} == {("wind", 0): "WIND", ("wind", 1): "WYND", ("harvest", 0): "HAR-vuhst", ("quiet", 0): "KWY-uht", ("office", 0): "AW-fuhs", ("extra", 0): "EK-struh", ("honey", 0): "HUN-ee"}
     senses = frame(spark, "word string, pos string", ("wind", "VERB"), ("wind", "NOUN"))
-    routed = pronounce.sense_routes(said, senses, frame(spark, "word string, pos string, variant int", ("wind", "VERB", 1)))
-    assert {(r.pos, r.respelling, r.ambiguous) for r in routed.collect()} == {("VERB", "WYND", False), ("NOUN", "WIND", True)}
+    routed = pronounce.sense_routes(p, senses)
+    assert {(r.pos, r.variant, r.ambiguous) for r in routed.collect()} == {("VERB", 1, False), ("NOUN", 0, False)}
     found = frame(spark, "doc_id long, profile string, kind string, start long, end long, text string, pos string, place long", (1, "a", "rare", 0, 4, "wind", "VERB", 1), (1, "a", "heteronym", 0, 4, "wind", "VERB", 0), (1, "a", "personal", 5, 12, "harvest", "NOUN", 2), (1, "off", "personal", 5, 12, "harvest", "NOUN", 0), (1, "a", "rare", 20, 25, "quiet", "ADJ", 3))
-    profiles = frame(spark, "profile string, phonetic_map string, phonetic_map_kinds array<string>, phonetic_map_always_kinds array<string>, safe_words array<string>", ("a", "on_demand", ["heteronym", "rare"], ["heteronym"], ["Quiet"]), ("off", "off", ["rare"], [], []))
+    profiles = frame(spark, "profile string, phonetic_map string, phonetic_map_kinds array<string>, phonetic_map_always_kinds array<string>, safe_words array<string>, trigger_words array<string>", ("a", "on_demand", ["heteronym", "rare"], ["heteronym"], ["Quiet"], ["Harvest"]), ("off", "off", ["rare"], [], [], ["harvest"]))
     entries = pronounce.phonetic_map(found, profiles, said, routed)
-    assert {(r.profile, r.text, r.respelling, r.always) for r in entries.collect()} == {("a", "wind", "WYND", True), ("a", "harvest", "HAHR-vuhst", False)}
+    assert {(r.profile, r.text, r.respelling, r.always) for r in entries.collect()} == {("a", "wind", "WYND", True), ("a", "harvest", "HAR-vuhst", True)}
     paras = frame(spark, "doc_id long, para_no int, start long, end long, words int", (1, 0, 0, 4, 1), (1, 1, 5, 30, 5), (1, 2, 31, 40, 5))
     kept, inside = pronounce.excerpt(paras, entries, 1)
     assert kept.count() == 1 and [r.text for r in inside.collect()] == ["wind"]
