@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexispan.operators import service as S
+from lexispan.streaming import decisions
+
+#: So many accepted events of a user in so many seconds.
+MOST, SECONDS = 3, 21_600
 
 _NAMES = {
     "results_by_reader": S.results_by_reader,
@@ -19,6 +23,7 @@ _NAMES = {
     "axis_scores": S.axis_scores,
     "sliding_counts": S.sliding_counts,
     "reading_sessions": S.sessions,
+    "rate_decisions": lambda events: decisions.decided_table(events, MOST, SECONDS),
 }
 
 
@@ -54,4 +59,9 @@ ORACLE = {
     "sliding_counts": """SELECT time_bucket(INTERVAL 1 DAY, ts) - to_days(k::INT) AS window_start, event_type, count(*) AS n FROM events, range(0, 7) r(k) GROUP BY ALL""",
     "reading_sessions": """WITH l AS (SELECT *, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER w) > 30 * 60000000)::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
  s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM l) SELECT user_id, session, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM s GROUP BY ALL""",
+    "rate_decisions": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE ts IS NOT NULL AND event_id IS NOT NULL),
+ r AS (SELECT user_id, k, event_id, "at", true AS accepted, ["at"] AS kept FROM e WHERE k = 1
+  UNION ALL SELECT user_id, k, event_id, "at", len(held) < {MOST}, CASE WHEN len(held) < {MOST} THEN list_append(held, "at") ELSE held END
+  FROM (SELECT e.*, list_filter(r.kept, lambda x: x > e."at" - {SECONDS * 1_000_000}) AS held FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.k = r.k + 1))
+ SELECT user_id, event_id, "at", accepted FROM r""",
 }

@@ -1,13 +1,9 @@
-"""Structured Streaming forms of the event jobs: the same aggregates with watermarks, and accepted-only rate limiting."""
+"""Structured Streaming forms of the event jobs: the same aggregates with watermarks."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 
 def _timed(events: DataFrame) -> DataFrame:
@@ -32,40 +28,6 @@ def sliding_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     return counts.select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
-def accepted_times(times: list[float], kept: list[float], most: int, seconds: float) -> tuple[list[bool], list[float]]:
-    """Which of the ascending times are accepted when at most so many accepted ones may lie in the trailing window."""
-    out = []
-    for t in times:
-        kept = [k for k in kept if k > t - seconds]
-        ok = len(kept) < most
-        if ok:
-            kept.append(t)
-        out.append(ok)
-    return out, kept
-
-
-def rate_limited(events: DataFrame, most: int = 5, seconds: float = 60.0, late: str = "1 minute") -> DataFrame:
-    """user_id, accepted and rejected in each batch; only accepted events count against the limit.
-
-    State is the accepted times inside the window, at most `most` of them a user. Window and expiry are both in event
-    time: a user's state goes once the watermark has passed the window of its last accepted event, so replays decide alike."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = sorted(t for b in batches for t in b["at"])
-        flags, kept = accepted_times(times, list(state.get[0]) if state.exists else [], most, seconds)
-        state.update((kept,))
-        ends = int((max(kept, default=times[-1]) + seconds) * 1000) + 1
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": [key[0]], "accepted": [sum(flags)], "rejected": [len(flags) - sum(flags)]})
-
-    timed = _timed(events).withWatermark("ts", late)
-    rows = timed.select("user_id", "ts", F.col("ts").cast("double").alias("at"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, accepted long, rejected long", "kept array<double>", "append", "EventTimeTimeout")
-
-
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """user_id, started, ended and events of reading sessions that end where nothing comes for the gap."""
     counts = _timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.max("ts").alias("ended"), F.count(F.lit(1)).alias("events"))
@@ -78,23 +40,3 @@ def finished(events: DataFrame, within: str = "1 day", late: str = "1 hour") ->
     start = timed.filter("event_type = 'start'").select("item_id", F.col("ts").alias("started_at")).withWatermark("started_at", late)
     finish = timed.filter("event_type = 'finish'").select(F.col("item_id").alias("f_id"), F.col("ts").alias("finished_at")).withWatermark("finished_at", late)
     return start.join(finish, F.expr(f"item_id = f_id and finished_at >= started_at and finished_at <= started_at + interval {within}")).drop("f_id")
-
-
-def rewrite_incrementally(queue: DataFrame, rewrite: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Runs rewrite over what is new in queue (book_id, chapter, text) and appends status and text to out, a folder for each batch.
-
-    A batch that is tried again writes its own folder again, so nothing comes twice; a restart goes on where the checkpoint is."""
-
-    def process(batch: DataFrame, number: int) -> None:
-        done = rewrite(batch).withColumn("status", F.when(F.col("text").isNull(), "failed").otherwise("ready"))
-        done.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    return queue.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def progress(done: DataFrame, chapters: DataFrame) -> DataFrame:
-    """book_id, chapters, ready, failed and progress in percent."""
-    by = done.groupBy("book_id").agg(F.count_if(F.col("status") == "ready").alias("ready"), F.count_if(F.col("status") == "failed").alias("failed"))
-    total = chapters.groupBy("book_id").agg(F.count(F.lit(1)).alias("chapters"))
-    n = lambda c: F.coalesce(c, F.lit(0))
-    return total.join(by, "book_id", "left").select("book_id", "chapters", n("ready").alias("ready"), n("failed").alias("failed"), F.floor(100 * (n("ready") + n("failed")) / F.col("chapters")).alias("progress"))

@@ -40,6 +40,27 @@ def test_lookalikes(spark):
     assert {(r.word, r.other) for r in detectors.lookalike_pairs(words).collect()} == {("form", "from"), ("form", "forms"), ("quiet", "quite"), ("fürs", "fürst")}
 
 
+def test_lookalikes_of_one_stem_and_at_random(spark):
+    """Words that differ in the letter after a common stem, and words of few letters, against the distance of every two."""
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    words = sorted({"stemma" + a for a in "abcdefghijklmnopqrstuvwxyz"} | {"".join(rng.choices("abc", k=rng.randint(3, 6))) for _ in range(150)})
+
+    def near(a, b):
+        if len(a) == len(b):
+            apart = [k for k in range(len(a)) if a[k] != b[k]]
+            return len(apart) == 1 or (len(apart) == 2 and apart[1] == apart[0] + 1 and a[apart[0]] == b[apart[1]] and a[apart[1]] == b[apart[0]])
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    wanted = sorted((a, b) for a, b in itertools.combinations(words, 2) if min(len(a), len(b)) >= 4 and near(a, b))
+    frame = spark.createDataFrame([(w,) for w in words], "lower string")
+    assert sorted((r.word, r.other) for r in detectors.lookalike_pairs(frame).collect()) == wanted
+    assert detectors.lookalike_pairs(frame.limit(0)).count() == 0
+
+
 def test_near_pairs(spark):
     d = docs(spark, "The form came from the office. Nothing here. A form again.")
     words = tokens.word_table(d)
@@ -71,11 +92,6 @@ def test_anchors(spark):
         assert one(spark, str(value), service.anchored_score(F.col("x").cast("double"), 1.0, 0.5)) == score
 
 
-def test_only_accepted_events_count():
-    flags, kept = jobs.accepted_times([0, 1, 2, 60.5, 61.5], [], 2, 60)
-    assert flags == [True, True, False, True, True] and kept == [60.5, 61.5]
-
-
 def test_streams_equal_batches(spark, tmp_path):
     schema = spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema
     source = spark.readStream.schema(schema).parquet("/root/testdata/sf0.001/events.parque[t]")
