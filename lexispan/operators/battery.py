@@ -138,8 +138,14 @@ def score_battery(runs: DataFrame) -> DataFrame:
 
 
 def profiles_from_scores(scores: DataFrame, base: DataFrame) -> DataFrame:
-    """Profiles of scored runs on top of a base (a table of one profile): every number only moves to more help."""
+    """Profiles of scored runs on top of a base (a table of one profile): every number only moves to more help.
+
+    Lines get shorter and blanks wider by the support for attention at a glance, in the base's layout (62 characters and 0.16 em where it says nothing); the
+    depth of clauses that a reader is given falls to 1 by the support for attention, from the base's clause_depth or 1.2."""
     row = scores.crossJoin(F.broadcast(base))
+    laid = F.coalesce("layout", F.create_map().cast("map<string,string>")) if "layout" in base.columns else F.create_map().cast("map<string,string>")
+    depth = F.coalesce("clause_depth", F.lit(1.2)) if "clause_depth" in base.columns else F.lit(1.2)
+    line, blank = F.coalesce(F.try_element_at(laid, F.lit("max_line_chars")).cast("double"), F.lit(62.0)), F.coalesce(F.try_element_at(laid, F.lit("word_spacing_em")).cast("double"), F.lit(0.16))
     between = lambda axis, low, high: F.lit(low) + F.col(axis) / 100 * (F.lit(high) - F.lit(low)) if not isinstance(low, Column) else low + F.col(axis) / 100 * (F.lit(high) - low)
     w = lambda kind: F.coalesce(F.try_element_at("weights", F.lit(kind)), F.lit(1.0))
     up = lambda have, *wanted: F.bround(F.greatest(have, *wanted), 2)
@@ -158,6 +164,11 @@ def profiles_from_scores(scores: DataFrame, base: DataFrame) -> DataFrame:
         F.bround(F.least(letters, between("vas", letters, 7.0))).cast("int").alias("max_word_length"),
         F.bround(F.least(by_rate, between("attention", by_rate, 10.0))).cast("int").alias("max_sentence_words"),
         F.when(F.col("phonological") >= 50, "always").otherwise("on_demand").alias("phonetic_map"),
+        F.map_concat(
+            F.map_filter(laid, lambda k, _: ~k.isin("max_line_chars", "word_spacing_em")),
+            F.create_map(F.lit("max_line_chars"), F.bround(F.least(line, between("vas", line, 45.0))).cast("int").cast("string"), F.lit("word_spacing_em"), F.bround(F.greatest(blank, between("vas", blank, 0.28)), 3).cast("string")),
+        ).alias("layout"),
+        F.bround(F.least(depth, between("attention", depth, 1.0)), 2).alias("clause_depth"),
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexispan.operators import edits, protect, tagging, triggers
+from lexispan.operators import edits, protect, style, tagging, triggers
 from lexispan.operators import tokens as T
 from lexispan.operators.detectors import PROFILES
 from lexispan.operators.token_table import completed, load_profiles, token_table
@@ -71,8 +71,8 @@ def readers_of(spark: SparkSession, words: DataFrame) -> DataFrame:
 class Raw:
     """What the queries of this module work on, each table stored once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    def __init__(self, spark: SparkSession, sf_dir: str, docs: DataFrame | None = None):
+        self.docs = docs if docs is not None else spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
         base = stored(token_table(self.docs), "tokens")
         self.zipf = stored(T.zipf_table(base.filter("is_alpha").select("lower")), "zipf")
         self.words = stored(lexicon_words(self.zipf), "lexicon")
@@ -121,7 +121,20 @@ def rewritten_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rewritten(Raw(spark, sf_dir))[0].filter("changed").select("doc_id", "profile", "sent_index", "original", "rewritten")
 
 
-QUERIES = {f.__name__: f for f in (sentence_tags, all_triggers, trigger_report, accepted_substitutions, rewritten_sentences)}
+def learned_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole profiles of those who wrote 50 words or more in conversations, from their own turns; lists as one string."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("conv_id").alias("author"), "text")
+    raw = Raw(spark, sf_dir, turns.select("doc_id", "text"))
+    posts, tokens = turns.select("author", "text"), raw.tokens.withColumn("author", F.expr("doc_id div 1000"))
+    report = stored(style.style_report(posts), "report")
+    base = load_profiles(spark.createDataFrame([(json.dumps({"name": "default", "safe_words": ["rest"], "weights": PROFILES[0][4]}),)], "json string"))
+    learned = style.learned_profiles(report, style.word_frequency(posts, raw.zipf), min_words=50)
+    made = style.reader_profiles(learned, report, base, style.own_words(tokens, raw.zipf), style.heteronyms_used(posts, raw.senses))
+    lists = {c: F.array_join(c, " ") for c in ("safe_words", "vocabulary")}
+    return made.select("author", "profile", "max_sentence_words", "min_zipf", F.try_element_at("weights", F.lit("syntax")).alias("syntax_weight"), *[x.alias(c) for c, x in lists.items()], "median_sentence_words", "p75_sentence_words", "sample_words", "max_word_length")
+
+
+QUERIES = {f.__name__: f for f in (sentence_tags, all_triggers, trigger_report, accepted_substitutions, rewritten_sentences, learned_readers)}
 
 def _values(rows) -> str:
     """Rows as SQL values; text in quotes."""
@@ -161,9 +174,10 @@ _TAGGED = reading._TOKENS.replace("WITH ch", "WITH RECURSIVE ch", 1) + rf""",
   QUALIFY row_number() OVER (PARTITION BY id, tag ORDER BY cost, last) = 1),
  sp_tags AS (SELECT doc_id, sent_index, path FROM sq JOIN (SELECT codes, path FROM vt WHERE k = len(codes) QUALIFY row_number() OVER (PARTITION BY id ORDER BY cost, tag) = 1) USING (codes))"""
 _WEIGHTS = [(r["name"], k, float(w)) for r in READERS for k, w in r["weights"].items()]
-_ALL = _TAGGED + rf""",
+_POS = rf""",
  tp AS (SELECT c.* EXCLUDE (code, mask, word), {list(tagging.TAGS)}[ascii(substr(path, k, 1)) - 64] AS pos, lag(c.lower) OVER (PARTITION BY doc_id, sent_index ORDER BY tok_i) AS before FROM cd c JOIN sp_tags USING (doc_id, sent_index)),
- tg AS (SELECT tp.* EXCLUDE (k, before), {_TAG} AS tag, {_LEMMA} AS lemma, regexp_matches(text, '^\p{{L}}') AS alpha, regexp_matches(text, '^[0-9]') AS num, lower IN {_words(tagging.closed_masks())} AS stop FROM (SELECT * FROM tp LEFT JOIN past USING (lower)) tp),
+ tg AS (SELECT tp.* EXCLUDE (k, before), {_TAG} AS tag, {_LEMMA} AS lemma, regexp_matches(text, '^\p{{L}}') AS alpha, regexp_matches(text, '^[0-9]') AS num, lower IN {_words(tagging.closed_masks())} AS stop FROM (SELECT * FROM tp LEFT JOIN past USING (lower)) tp)"""
+_ALL = _TAGGED + _POS + rf""",
  sn AS (SELECT l.word, 'VERB' AS pos, CASE WHEN b.word IS NULL THEN [] ELSE [b.word] END AS alts, 'word ' || l.r AS hint FROM lx l LEFT JOIN lx b ON b.r = l.r + 1
   UNION ALL SELECT l.word, 'NOUN', CASE WHEN l.r % 2 = 1 OR b.word IS NULL THEN [] ELSE [b.word] END, 'word ' || l.r FROM lx l LEFT JOIN lx b ON b.r = l.r + 2),
  pr(profile, ms, mz, mw, aw) AS {_values([(r["name"], r.get("max_sentence_words", 20), r["min_zipf"], r.get("max_word_length", 12), r.get("ambiguity_window_sentences", 3)) for r in READERS])},
@@ -215,7 +229,17 @@ _ACCEPTED = _ALL + rf""", {reading._SPANS},
  c2 AS (SELECT doc_id, profile, sent_index, unnest(list_reduce(c, lambda got, x: CASE WHEN len(list_filter(got, lambda y: y.a <= x[1].b AND x[1].a <= y.b)) > 0 THEN got ELSE list_concat(got, x) END)) AS x FROM c1),
  ac AS (SELECT doc_id, profile, sent_index, x.a AS a, x.b AS b, x.start AS start, x."end" AS "end", x.text AS text, CASE WHEN regexp_matches(x.text, '^\p{{Lu}}{{2,}}$') THEN upper(x.alt) WHEN regexp_matches(x.text, '^\p{{Lu}}') THEN upper(left(x.alt, 1)) || substr(x.alt, 2) ELSE x.alt END AS replacement, x.kind AS kind FROM c2)"""
 _COLUMNS = "doc_id, profile, kind, sent_index, start, \"end\", text, score, weighted, array_to_string(alts, '|') AS alternatives, related, pos, tag, hint"
+_TURNS = _TAGGED.replace("WITH RECURSIVE ch", "WITH RECURSIVE documents AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE role = 'user'), ch", 1) + _POS
 ORACLE = {
+    "learned_readers": _TURNS + rf""",
+ psents AS (SELECT conv_id AS author, unnest({reading._SENT}) AS sentence FROM conversations WHERE role = 'user'), ps AS (SELECT author, regexp_extract_all(sentence, '\p{{L}}+') AS words FROM psents WHERE regexp_matches(sentence, '\p{{L}}')),
+ pw AS (SELECT author, lower(unnest(words)) AS lower FROM ps), pa AS (SELECT author, sum(len(words))::BIGINT AS sample_words, round(quantile_cont(len(words), 0.5), 4) AS median_sentence_words, round(quantile_cont(len(words), 0.75), 4) AS p75_sentence_words FROM ps GROUP BY author),
+ pz AS (SELECT author, round(coalesce(median(zipf), 4.6), 4) AS m FROM pw LEFT JOIN wf USING (lower) GROUP BY author),
+ us AS (SELECT author, lower, count(*) AS n FROM pw JOIN lx ON lx.word = lower GROUP BY author, lower QUALIFY row_number() OVER (PARTITION BY author ORDER BY count(*) DESC, lower) <= 40),
+ ow AS (SELECT doc_id // 1000 AS author, lemma, count(*) AS n FROM tg WHERE alpha AND pos IN ('NOUN', 'VERB', 'ADJ', 'ADV') AND lemma IN (SELECT lower FROM wf WHERE zipf > 0) GROUP BY ALL HAVING count(*) >= 2)
+ SELECT author, 'default+writing' AS profile, least(greatest(round_even(p75_sentence_words, 0), 8), 28)::INT AS max_sentence_words, greatest(2.8::DOUBLE, least(4.2::DOUBLE, round_even(m - 1.1::DOUBLE, 2))) AS min_zipf, 1.0::DOUBLE AS syntax_weight,
+ array_to_string(list_sort(list_distinct(list_concat(['rest'], coalesce((SELECT list(lower) FROM us WHERE us.author = pa.author AND n >= 5), [])))), ' ') AS safe_words, coalesce((SELECT string_agg(lemma, ' ' ORDER BY lemma) FROM ow WHERE ow.author = pa.author), '') AS vocabulary,
+ median_sentence_words, p75_sentence_words, sample_words, 12 AS max_word_length FROM pa JOIN pz USING (author) WHERE sample_words >= 50""",
     "sentence_tags": f"{_TAGGED} SELECT doc_id, sent_index, path AS tags FROM sp_tags",
     "all_triggers": f"{_ALL} SELECT {_COLUMNS} FROM tr",
     "trigger_report": f"""{_ALL}, s AS (SELECT doc_id, count(DISTINCT sent_index) AS sentences, count(*) FILTER (alpha OR num) AS words FROM tg GROUP BY doc_id), m AS (SELECT doc_id, profile, count(*) AS triggers, sum(round(1000000 * weighted)::BIGINT)::BIGINT AS total FROM tr GROUP BY ALL)
