@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
+from lexispan.sources.shipping import importable
+
 DECISION = "user_id long, event_id long, at long, accepted boolean"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -72,6 +74,7 @@ class _Decider(StatefulProcessor):
 def decided(events: DataFrame, most: int = 10, seconds: float = 3600.0, late: str = "1 minute") -> DataFrame:
     """The decisions of a stream of events (user_id, event_id, ts); the session's state store has to be RocksDB, which this sets where none is named."""
     spark = events.sparkSession
+    importable(spark)
     if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     timed = _events(events).withWatermark("ts", late)
@@ -81,6 +84,7 @@ def decided(events: DataFrame, most: int = 10, seconds: float = 3600.0, late: st
 
 def decided_table(events: DataFrame, most: int = 10, seconds: float = 3600.0) -> DataFrame:
     """The decisions of a table of events (user_id, event_id, ts)."""
+    importable(events.sparkSession)
     window = int(seconds * 1_000_000)
     order = Window.partitionBy("user_id").orderBy("at", "event_id")
     apart = F.col("at") - F.lag("at").over(order)
