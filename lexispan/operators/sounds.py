@@ -52,6 +52,8 @@ def metaphone(word: Column) -> Column:
 def coded(vocabulary: DataFrame) -> DataFrame:
     """lower and code of distinct words of 4 letters or more that have a code."""
     rows = vocabulary.select("lower").filter(F.length("lower") >= 4).distinct()
+    # a vocabulary is small in bytes, but each word takes time: as many tasks as there are cores, whatever the bytes
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "lower")
     return rows.select("lower", metaphone(F.col("lower")).alias("code")).filter("code != ''")
 
 
