@@ -7,7 +7,13 @@ that a pair at the threshold keeps about one common path. Small nodes are compar
 smallest are listed, those of up to some thousands of documents are compared inside a task, which gives out no
 more links than connect what links connect, and larger ones in blocks, a task for every two of them. In a node
 of more blocks than is sensible all documents are compared with one of them, take over the label of what they are
-linked with, and the node branches on while it holds different labels.
+linked with, and the node branches on, DEPTH looks at most, while it holds different labels.
+
+A path that branches once a step on average may end, so such a node would lose links the deeper it goes. What branching
+connects there only saves work: the documents of nodes that were too large at the first look and still hold different labels are joined
+exactly, by prefixes. Their shingles are ordered by rarity; two sets that reach the threshold share one of the first
+size - least overlap + 1 shingles of both. The documents behind one such shingle are a node that is compared as above, in as many blocks as it takes.
+First every document goes to the rarest shingle it shares, then, where labels still differ, to all of its prefix.
 Independent trees repeat this; a node whose documents are all connected already is left out, so that a group
 of near copies isn't compared again in every tree.
 
@@ -22,7 +28,6 @@ any of its rows is linked with); rows with a null doc_id are left out; an empty
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +45,9 @@ BROADCAST_IDS = 1_000_000  # ids of 8 bytes that may be broadcast
 STEPS = 3  # token choices between two looks at the nodes' sizes
 LEAF = 16  # documents of a node whose pairs are listed
 NODE, WEIGHT = 3000, 6_000_000  # documents of a node, and shingles of them all, that one task compares exhaustively
-BLOCKS = 40  # blocks of half as many that a larger node is compared in; one of more branches on
+BLOCKS = 8  # blocks of half as many that a larger node is compared in; one of more branches on
+DEPTH = 3  # looks at a node that branches on; what is apart after them is joined by prefixes
+FREQUENT = 100_000  # shingles whose counts are told to every task: so many can make up 1 / FREQUENT of all, each
 
 
 def _digest(members: np.ndarray) -> bytes:
@@ -223,23 +230,31 @@ def links(docs: DataFrame, reps: DataFrame, k: int, threshold: float) -> DataFra
     """Confirmed links (a < b) that connect all representatives that links connect.
 
     The first trees run by themselves: what they connect is one label to the trees that follow."""
-    found, start = [], reps.select("rep", F.col("rep").alias("label"), "signature", "size")
+    found, opened, start = [], [], reps.select("rep", F.col("rep").alias("label"), "signature", "size")
     for trees in ROUNDS:
-        found = [written(_all(_grow(docs, reps, start, trees, k, threshold, found)), "links")]
-        if trees == ROUNDS[-1]:
-            break
-        label = components(found[0])
-        start = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label"), "signature", "size")
-    return found[0]
-
-
-def _grow(docs: DataFrame, reps: DataFrame, rows: DataFrame, trees: tuple[int, ...], k: int, threshold: float, found: list[DataFrame]) -> list[DataFrame]:
-    """found, and the links from these trees."""
-    found, candidates = list(found), []
-    for level in itertools.count():
-        nodes = written(branch(rows, level, trees, threshold), "nodes")
-        stats = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("rep", F.struct("label", "rep")).alias("pivot"))
-        held = written(nodes.join(stats.filter("n > 1 and low != high"), "node"), "held")
+        grown, large = _grow(docs, reps, start, trees, k, threshold, found)
+        found, opened = [written(_all(grown), "links")], [*opened, *large]
+        if trees != ROUNDS[-1]:
+            start = _labelled(reps.select("rep", "signature", "size"), found)
+    return _all(by_prefixes(docs, reps, _all(opened), found, k, threshold)) if opened else found[0]
+
+
+def _labelled(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """rows with the label of what the links connect."""
+    return rows.join(components(_all(found)).toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """The rows (node, rep, label, size) of nodes that hold different labels, with n, weight, pivot and high of the node."""
+    stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("rep", F.struct("label", "rep")).alias("pivot"))
+    return rows.join(stats.filter("n > 1 and low != high").drop("low"), "node")
+
+
+def _grow(docs: DataFrame, reps: DataFrame, rows: DataFrame, trees: tuple[int, ...], k: int, threshold: float, found: list[DataFrame]) -> tuple[list[DataFrame], list[DataFrame]]:
+    """found and the links from these trees, and the rows (node, rep) of nodes that were too large at the first look."""
+    found, candidates, opened = list(found), [], []
+    for level in range(DEPTH):
+        held = written(_apart(written(branch(rows, level, trees, threshold), "nodes")), "held")
         small = held.filter(F.col("n") <= LEAF)
         left, right = small.select("node", F.col("rep").alias("a"), F.col("label").alias("la")), small.select("node", F.col("rep").alias("b"), F.col("label").alias("lb"))
         candidates.append(written(_agreeing(left.join(right, "node").filter("a < b and la != lb").select("a", "b").distinct(), reps, threshold), "pairs"))
@@ -248,18 +263,72 @@ def _grow(docs: DataFrame, reps: DataFrame, rows: DataFrame, trees: tuple[int, .
             break
         sets = written(full_sets(docs, reps, beyond.select("rep").distinct(), k), "sets")
         fits = (2 * F.col("n") <= BLOCKS * NODE) & (2 * F.col("weight") <= BLOCKS * WEIGHT)
-        middle = beyond.filter(fits).select("node", "rep", "label", "n", "weight").join(sets, "rep").join(reps.select("rep", "signature"), "rep")
-        found.append(written(exhaustive(in_blocks(middle), threshold), "stars"))
+        found.append(_compared(beyond.filter(fits), reps, sets, threshold))
         large = beyond.filter(~fits)
         if not large.limit(1).count():
             break
+        opened = opened or [large.select("node", "rep")]
         # too many blocks: all against one of them, then on to the children, where labels still differ
         stars = large.filter("rep != pivot and label != high").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
         found.append(written(confirmed(_agreeing(stars, reps, threshold), sets, threshold), "stars"))
-        linked = components(_all(found))
-        large = large.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "label").alias("label"), "pivot")
-        rows = large.filter("rep != pivot").select("node", "rep", "label").join(reps.select("rep", "signature", "size"), "rep")
-    return _connect(docs, reps, _all(candidates), found, k, threshold)
+        if level + 1 < DEPTH:
+            rows = _labelled(large.filter("rep != pivot").select("node", "rep"), found).join(reps.select("rep", "signature", "size"), "rep")
+    return _connect(docs, reps, _all(candidates), found, k, threshold), opened
+
+
+def _compared(nodes: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links of nodes (node, rep, label, n, weight) that are compared inside tasks."""
+    rows = nodes.select("node", "rep", "label", "n", "weight").join(sets, "rep").join(reps.select("rep", "signature"), "rep")
+    return written(exhaustive(in_blocks(rows), threshold), "stars")
+
+
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """rep, shingle and its place in the prefix of the set: the shingles by rarity, as many as two sets at the threshold must share one of.
+
+    Counts are told of the frequent shingles alone; those that aren't rank before them by hash. Any order keeps all pairs, this one keeps hot shingles out of prefixes."""
+    percent = round(threshold * 100)
+    counted, out = pa.schema([("shingle", pa.int64())]), pa.schema([("rep", pa.int64()), ("shingle", pa.int64()), ("place", pa.int32())])
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column("members"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(members.as_py(), np.int64))], schema=counted)
+
+    total = sets.agg(F.sum(F.octet_length("members"))).first()[0] or 0
+    counts = mapped(sets.select("members"), explode, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    often = counts.filter(F.col("n") > max(1, total // 8 // FREQUENT)).orderBy("shingle").toPandas()
+    shingle, n = often["shingle"].to_numpy(np.int64), often["n"].to_numpy(np.int64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, members in zip(batch.column("rep").to_pylist(), batch.column("members"), strict=True):
+                own = np.frombuffer(members.as_py(), np.int64)
+                rank = np.zeros(len(own), np.int64)
+                if len(shingle):
+                    at = np.minimum(np.searchsorted(shingle, own), len(shingle) - 1)
+                    rank = np.where(shingle[at] == own, n[at], 0)
+                size = len(own) + (-percent * len(own)) // 100 + 1  # less the least overlap, rounded up
+                first = own[np.lexsort((own, rank))[:size]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, rep)), pa.array(first), pa.array(np.arange(size, dtype=np.int32))], schema=out)
+
+    return mapped(sets.select("rep", "members"), cut, "rep long, shingle long, place int")
+
+
+def by_prefixes(docs: DataFrame, reps: DataFrame, opened: DataFrame, found: list[DataFrame], k: int, threshold: float) -> list[DataFrame]:
+    """found, and what else connects documents of opened nodes (node, rep) that aren't connected all."""
+    sized = reps.select("rep", "size")
+    left = written(_apart(_labelled(opened.join(sized, "rep"), found)).select("rep").distinct(), "open")
+    if not left.limit(1).count():
+        return found
+    sets = written(full_sets(docs, reps, left, k), "sets")
+    rows = written(prefixes(sets, threshold), "prefixes")
+    several = rows.groupBy(F.col("shingle").alias("node")).agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    shared = written(rows.withColumnRenamed("shingle", "node").join(several.select("node"), "node"), "prefixes")
+    rarest = shared.groupBy("rep").agg(F.min_by("node", "place").alias("node"))
+    for nodes in (rarest, shared.select("rep", "node")):
+        held = _apart(_labelled(nodes.join(sized, "rep"), found))
+        found = [*found, _compared(held, reps, sets, threshold)]
+    return found
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
