@@ -14,8 +14,10 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -83,7 +85,10 @@ def decided(events: DataFrame, most: int = 10, seconds: float = 3600.0, late: st
 
 
 def decided_table(events: DataFrame, most: int = 10, seconds: float = 3600.0) -> DataFrame:
-    """The decisions of a table of events (user_id, event_id, ts)."""
+    """The decisions of a table of events (user_id, event_id, ts).
+
+    Stretches are dealt out by user and number and sorted inside their task, which reads them batch by batch: a task holds the
+    accepted times of one stretch, and many short stretches cost no more than their events."""
     importable(events.sparkSession)
     window = int(seconds * 1_000_000)
     order = Window.partitionBy("user_id").orderBy("at", "event_id")
@@ -91,9 +96,17 @@ def decided_table(events: DataFrame, most: int = 10, seconds: float = 3600.0) ->
     rows = _events(events).withColumn("fresh", F.coalesce(apart >= window, F.lit(True)).cast("long"))
     rows = rows.withColumn("stretch", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("user_id", "stretch", "event_id", "at")
 
-    def decide(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["at", "event_id"], kind="stable")
-        flags, _ = accepted_in_turn(own["at"].tolist(), [], most, window)
-        return pd.DataFrame({"user_id": pd.array([None if pd.isna(key[0]) else int(key[0])] * len(own), "Int64"), "event_id": own["event_id"], "at": own["at"], "accepted": flags})
-
-    return rows.groupBy("user_id", "stretch").applyInPandas(decide, DECISION)
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            users, stretches, times = (batch.column(c).to_pylist() for c in ("user_id", "stretch", "at"))
+            flags = []
+            for own, run in groupby(zip(users, stretches, times, strict=True), key=lambda r: r[:2]):
+                held = held if own == key else []
+                some, held = accepted_in_turn((r[2] for r in run), held, most, window)
+                flags += some
+                key = own
+            yield pa.RecordBatch.from_arrays([batch.column("user_id"), batch.column("event_id"), batch.column("at"), pa.array(flags, pa.bool_())], ["user_id", "event_id", "at", "accepted"])
+
+    dealt = rows.repartition("user_id", "stretch").sortWithinPartitions("user_id", "stretch", "at", "event_id")
+    return dealt.mapInArrow(decide, DECISION)

@@ -46,6 +46,18 @@ def test_a_table_is_decided_as_by_a_loop(spark):
     assert decisions.decided_table(spark.createDataFrame([], EVENTS)).count() == 0
 
 
+def test_a_table_is_decided_by_the_batch(spark):
+    rng = random.Random(9)
+    rows = events(rng, 200)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # stretches go on from batch to batch
+    try:
+        frame = decisions.decided_table(spark.createDataFrame(rows, EVENTS), 3, 60.0)
+        assert decided(frame.collect()) == {k: sorted(v) for k, v in plain(rows, 3, 60.0).items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in frame._jdf.queryExecution().executedPlan().toString()  # a call of Python for each stretch took 254 s on sf0.1
+
+
 def test_refused_events_do_not_count():
     flags, kept = decisions.accepted_in_turn([0, 1, 2, 60, 61], [], 2, 60)
     assert flags == [True, True, False, True, True] and kept == [60, 61]
