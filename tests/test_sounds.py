@@ -18,6 +18,14 @@ def test_metaphone(spark):
     assert {r.w: r.code for r in rows} == METAPHONE | {None: None}
 
 
+def test_words_are_coded_once(spark):
+    words = spark.createDataFrame([(w,) for w in ("night", "knight", "night", "right")], "lower string").groupBy("lower").count()
+    made = sounds.coded(words)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_replace" in line]  # no code is made below the grouping
+    assert {r.lower: r.code for r in made.collect()} == {"night": "NT", "knight": "NT", "right": "RT"}
+
+
 def test_words_that_sound_alike(spark):
     vocabulary = spark.createDataFrame([(w,) for w in ("their", "there", "wind", "wined", "witch", "which", "house", "the", "their")], "lower string")
     assert {(r.code, r.words, r.first_word, r.last_word) for r in sounds.sound_classes(vocabulary).collect()} == {("0R", 2, "their", "there"), ("WNT", 2, "wind", "wined"), ("WX", 2, "which", "witch")}
