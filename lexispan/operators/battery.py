@@ -41,10 +41,16 @@ def _mean_of(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
 
 
+def tenths(value: Column) -> Column:
+    """value to one place as SQL rounds doubles: ten times the value, ties to the even whole number."""
+    return F.rint(value * 10) / 10
+
+
 def _median(values: Column) -> Column:
     s = F.array_sort(values)
     n = F.size(values)
-    return F.when(n > 0, (F.get(s, ((n - 1) / 2).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2)
+    low, high = F.get(s, ((n - 1) / 2).cast("int")), F.get(s, (n / 2).cast("int"))
+    return F.when(n > 0, low + (high - low) * 0.5)
 
 
 def classified_spelling(trials: DataFrame) -> DataFrame:
@@ -131,10 +137,10 @@ def score_battery(runs: DataFrame) -> DataFrame:
         check = F.coalesce(_mean(*[answer(i) for i in ITEMS[axis]]), F.lit(0.0))
         out = out.withColumn(f"{axis}_task", task[axis])
         combined = F.when(F.col(f"{axis}_task").isNull(), check).otherwise(F.least(F.lit(100.0), F.col(f"{axis}_task") + CHECKLIST_SHARE * check))
-        out = out.withColumns({axis: F.bround(combined, 1), f"{axis}_confidence": F.when(F.col(f"{axis}_task").isNull(), "low").otherwise("normal")})
+        out = out.withColumns({axis: tenths(combined), f"{axis}_confidence": F.when(F.col(f"{axis}_task").isNull(), "low").otherwise("normal")})
     comfort = _mean_of(F.transform(F.map_values("r.checklist.comfort"), lambda v: F.least(F.greatest((v.cast("double") - 1) / 3 * 100, F.lit(0.0)), F.lit(100.0))))
     columns = [c for axis in AXES for c in (axis, f"{axis}_confidence")]
-    return out.select("run_id", "user_id", *columns, F.bround(F.coalesce(comfort, F.lit(0.0)), 1).alias("comfort"), "slowdown_ms", "slowdown_ratio", F.coalesce("reliable", F.lit(False)).alias("reliable"), F.coalesce("pairs_scored", F.lit(0)).alias("pairs_scored"))
+    return out.select("run_id", "user_id", *columns, tenths(F.coalesce(comfort, F.lit(0.0))).alias("comfort"), "slowdown_ms", "slowdown_ratio", F.coalesce("reliable", F.lit(False)).alias("reliable"), F.coalesce("pairs_scored", F.lit(0)).alias("pairs_scored"))
 
 
 def profiles_from_scores(scores: DataFrame, base: DataFrame) -> DataFrame:

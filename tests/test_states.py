@@ -55,6 +55,12 @@ def test_battery(spark):
     assert made[2].layout == {"font": "Lex", "max_line_chars": "45", "word_spacing_em": "0.28"} and made[2].clause_depth == 1.0 and made[2].max_word_length == 7
 
 
+def test_support_is_rounded_as_sql_rounds(spark):
+    # 14.549999999999999 and 53.349999999999994 are halves of a tenth once they are multiplied by ten
+    rows = frame(spark, "x double", (14.549999999999999,), (53.349999999999994,), (14.45,), (14.55,), (None,))
+    assert [r[0] for r in rows.select(B.tenths(F.col("x"))).collect()] == [14.6, 53.4, 14.4, 14.6, None]
+
+
 def test_runs_are_merged_by_task(spark):
     parts = frame(spark, "run_id long, user_id long, at int, finished_at int, raw string", (1, 9, 1, None, '{"digit_span": {"span": 3}, "vas": null}'), (1, 9, 2, 5, '{"digit_span": {"span": 6}}'), (2, 9, 1, 4, "{}"))
     runs = B.merged_runs(parts)
