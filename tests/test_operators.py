@@ -29,6 +29,11 @@ def test_text_units(spark):
     assert one(spark, "Harvest", X.matched_case(F.lit("crop"), x)) == "Crop"
 
 
+def test_capitals_letter_by_letter(spark):
+    rows = spark.createDataFrame([("deseinßgeung", "GERÄT"), ("ßa", "Ab"), ("ﬁx", "AB"), ("éa", "AB"), ("ab", "ab")], "w string, o string")
+    assert [r[0] for r in rows.select(X.matched_case(F.col("w"), F.col("o"))).collect()] == ["DESEINẞGEUNG", "ẞa", "ﬁX", "ÉA", "ab"]
+
+
 def test_chunks(spark):
     text = "\n".join(" ".join(["w"] * n) for n in (3, 4, 5, 2, 9))
     rows = tokens.chunked_paragraphs(docs(spark, text, "", None), 8).orderBy("chunk").collect()
