@@ -9,6 +9,17 @@ from pyspark.sql.window import Window
 MOST_WPM, MOST_TRIPPED = 1200.0, 200
 
 
+def tenths(value: Column) -> Column:
+    """value to one place as SQL rounds doubles: ten times the value, halves away from zero."""
+    return F.round(value * 10) / 10
+
+
+def mean_in_order(value: str, order: str) -> Column:
+    """The mean of a group, added up in order, so that its last bits, which decide between halves of a tenth, don't depend on how rows are dealt out."""
+    rows = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(order, value))))
+    return F.when(F.count(value) > 0, F.aggregate(rows, F.lit(0.0), lambda a, r: a + r[value]) / F.count(value))
+
+
 def next_pairs(users: DataFrame, pairs: DataFrame, tests: DataFrame) -> DataFrame:
     """user_id and pair: the first pair (pair, place) that a reader hasn't had, else the one at (number of tests) modulo (number of pairs).
 
@@ -32,7 +43,7 @@ def graded_items(items: DataFrame, passages: DataFrame) -> tuple[DataFrame, Data
     correct counts answers that match the passage's key (answers); too fast readings and second recordings are rejected with a reason."""
     keys = passages.select("passage_id", F.col("answers").alias("key"))
     rows = items.join(F.broadcast(keys), "passage_id", "left")
-    wpm = F.when(F.col("seconds") > 0, F.round(F.col("words") / (F.col("seconds") / 60), 1))
+    wpm = F.when(F.col("seconds") > 0, tenths(F.col("words") / (F.col("seconds") / 60)))
     right = F.size(F.filter(F.map_entries("key"), lambda e: F.coalesce(F.try_element_at("answers", e.key) == e.value, F.lit(False))))
     first = F.row_number().over(Window.partitionBy("item_id").orderBy("recorded_at"))
     told = F.slice(F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("tripped", F.array().cast("array<string>")), lambda w: F.lower(F.trim(w))), lambda w: w != ""))), 1, MOST_TRIPPED)
@@ -46,7 +57,7 @@ def graded_items(items: DataFrame, passages: DataFrame) -> tuple[DataFrame, Data
 def results(graded: DataFrame) -> DataFrame:
     """user_id, condition, n, mean_wpm and mean comprehension in percent."""
     shares = F.avg(F.when(F.col("total") > 0, F.col("correct") / F.col("total")))
-    return graded.groupBy("user_id", "condition").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("wpm"), 1).alias("mean_wpm"), F.round(100 * shares, 1).alias("comprehension"))
+    return graded.groupBy("user_id", "condition").agg(F.count(F.lit(1)).alias("n"), tenths(mean_in_order("wpm", "item_id")).alias("mean_wpm"), tenths(100 * shares).alias("comprehension"))
 
 
 def completion(items: DataFrame) -> DataFrame:
@@ -67,7 +78,7 @@ def speed_changes(by_condition: DataFrame) -> DataFrame:
     """user_id, change of speed in percent, what it says, and the difference in comprehension, for readers with both conditions."""
     rows = by_condition.groupBy("user_id").pivot("condition", ["original", "rewritten"]).agg(F.first("mean_wpm").alias("wpm"), F.first("comprehension").alias("c"))
     change = F.round((F.col("rewritten_wpm") - F.col("original_wpm")) / F.col("original_wpm") * 100).cast("long")
-    rows = rows.filter("original_wpm > 0 and rewritten_wpm is not null").select("user_id", change.alias("change"), F.round(F.col("rewritten_c") - F.col("original_c"), 1).alias("comprehension_change"))
+    rows = rows.filter("original_wpm > 0 and rewritten_wpm is not null").select("user_id", change.alias("change"), tenths(F.col("rewritten_c") - F.col("original_c")).alias("comprehension_change"))
     return rows.withColumn("verdict", verdict(F.col("change")))
 
 

@@ -88,6 +88,17 @@ def test_reading_tests(spark):
     assert R.protocol(good, scores, ("rate",), 1).first().readers == 1
 
 
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(k, 1, "original", w, 2, 2) for k, w in enumerate((0.1, 0.7, 1e15, 0.3, -1e15, 0.2, 0.9, 0.4))]
+    schema = "item_id long, user_id long, condition string, wpm double, correct int, total int"
+    in_turn = 0.0
+    for r in rows:
+        in_turn += r[3]
+    for some in (rows, rows[::-1], rows[3:] + rows[:3]):
+        got = R.results(spark.createDataFrame(some, schema).repartition(3)).collect()
+        assert [(r.n, r.mean_wpm, r.comprehension) for r in got] == [(8, int(in_turn / 8 * 10 + 0.5) / 10, 100.0)]
+
+
 def test_reader_knowledge(spark):
     f = frame(spark, "user_id long, at int, kind string, word string, put string", (1, 1, "tripped", " Wind", None), (1, 2, "safe", "wind", None), (1, 3, "tripped", "tear", None), (1, 4, "remove", "x", None), (1, 5, "replace", "Harvest", "crop "), (2, 1, "replace", "a", "b"))
     got = {r.user_id: r for r in R.folded_feedback(f).collect()}
