@@ -73,6 +73,15 @@ def test_near_pairs(spark):
     assert [(r.lower, r.other, r.sent_index) for r in found.collect()] == [("from", "form", 0)]
 
 
+def test_hits_of_readers_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "en", "An owl. The owl saw an elk."), (2, "en", "No elk"), (None, "en", "owl owl")], "doc_id long, lang string, text string")
+    own = spark.createDataFrame([("a", "owl"), ("a", "elk"), ("b", "elk"), ("c", "fox")], "reader string, lower string")
+    got = detectors.personal(detectors.word_counts(tokens.word_table(detectors.by_document(docs, 3))), own)
+    assert {tuple(r) for r in got.collect()} == {("a", 1, 3), ("b", 1, 1), ("a", 2, 1), ("b", 2, 1), ("a", None, 2)}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") <= 1
+
+
 def test_ambiguity(spark):
     words = tokens.word_table(docs(spark, "They went to wind it. Outside the wind blows."))
     assert [(r.lower, r.role, r.sent_index, r.p_sent) for r in detectors.ambiguity(words).collect()] == [("wind", "NOUN", 1, 0)]
