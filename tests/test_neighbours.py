@@ -4,7 +4,10 @@ import random
 import re
 
 from lexispan import plans
+from lexispan.operators import triggers
 from lexispan.operators.neighbours import near_lookalike_rows
+from lexispan.operators.token_table import completed, load_profiles, token_table
+from lexispan.plans import rules
 
 
 def one_apart(a, b):
@@ -47,3 +50,23 @@ def test_only_texts_are_shuffled(spark):
     df = plans.queries()["near_pair_triggers"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan and df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_pairs_of_tokens_meet_by_sentence(spark):
+    """Words of a pair that come again and again in a document only meet inside a window, and windows of several sizes keep their own partners."""
+    text = ". ".join(["form", "from"] * 60)
+    tokens = completed(token_table(spark.createDataFrame([(1, text), (2, "from x. y. z. form. form from")], "doc_id long, text string")))
+    pairs = spark.createDataFrame([("form", "from", 2), ("from", "form", 2)], "word string, other string, rank int")
+    profiles = load_profiles(spark.createDataFrame([('{"name": "a", "phonetic_window_sentences": 0}',), ('{"name": "b", "phonetic_window_sentences": 3}',)], "json string"))
+    found = triggers.near_pairs(tokens, pairs, profiles)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line and "doc_id" in line]
+    assert joins and all("sent_index" in line for line in joins)
+    got = {(r.doc_id, r.profile, r.sent_index) for r in found.collect()}
+    assert got == {(1, "b", k) for k in range(1, 120)} | {(2, "a", 4), (2, "b", 3), (2, "b", 4)}
+
+
+def test_rewriting_looks_for_what_it_reads(spark, monkeypatch):
+    asked, analyze = [], triggers.analyze
+    monkeypatch.setattr(triggers, "analyze", lambda *a, kinds, **k: asked.append(kinds) or analyze(*a, kinds=kinds, **k))
+    rules.Raw(spark, "/root/testdata/sf0.001").triggers(rules.REWRITTEN)
+    assert asked == [("personal", "phrasal", "ambiguity", "syntax")]
