@@ -72,7 +72,9 @@ def load_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     least = F.lit(500) - F.expr("(10000 - cast(round(10000 * type_token) as bigint)) div 100")
     weights = F.create_map(*[F.lit(x) for kv in D.PROFILES[0][4].items() for x in kv])
     readers = own.select(F.col("author").alias("profile"), least.alias("min_zipf"), within(F.ceil(2 * F.col("word_length")), 8, 14).alias("max_word_length"), within(F.bround("p75"), 8, 28).alias("max_sentence_words"), weights.alias("weights"))
-    return _loads(rows, zipf, stored(readers, "readers"), "source").select("source", F.col("profile").alias("author"), "words", "rare", "long", "syntax", "load")
+    readers = stored(readers, "readers")
+    index = stored(load.cumulated(load.histograms(rows, zipf, ["source"], load.loosest(readers)), ["source"]), "index")
+    return load.loads(index, readers, ["source"], few_groups=True).select("source", F.col("profile").alias("author"), "words", "rare", "long", "syntax", "load")
 
 
 def top_flagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:

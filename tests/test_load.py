@@ -78,3 +78,13 @@ def test_frequent_words_are_few(spark):
     rows = load.zipf_hundredths(spark.range(3000).select(F.concat(F.lit("w"), F.pmod("id", F.lit(700))).alias("lower")))
     assert rows.count() == 700 and rows.filter(F.col("z") >= load.FREQUENT).count() <= 100_000
     assert {r.z for r in rows.collect()} == {round(100 * round(math.log10(n / 3000 * 1e9), 2)) for n in (4, 5)}
+
+
+def test_few_groups_meet_many_readers_in_many_tasks(spark):
+    docs = spark.createDataFrame([(k, "Some words of abc. And aab " * 5, "ab"[k % 2]) for k in range(6)], "doc_id long, text string, source string")
+    rows = load.units(docs, ("source",))
+    readers = spark.range(300).select(F.concat(F.lit("r"), "id").alias("profile"), (300 + F.col("id")).alias("min_zipf"), (F.col("id") % 5).cast("int").alias("max_word_length"), (F.col("id") % 7).cast("int").alias("max_sentence_words"), F.create_map(F.lit("rare"), F.lit(0.7)).alias("weights"))
+    index = load.cumulated(load.histograms(rows, load.zipf_hundredths(rows), ("source",), load.loosest(readers)), ("source",))
+    dealt = load.loads(index, readers, ("source",), few_groups=True).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in dealt}) > 8
+    assert sorted(tuple(r)[:-1] for r in dealt) == sorted(map(tuple, load.loads(index, readers, ("source",)).collect()))
