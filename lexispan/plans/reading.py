@@ -27,9 +27,9 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numbers(spark: SparkSession, sf_dir: str, *keep: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Units of all documents and their frequencies as tables, and the built-in profiles as readers."""
+    """Units of all documents and their frequencies as tables, and the built-in profiles as readers, a table too: its size is known, so groups aren't made anew for parts of it."""
     rows = stored(load.units(_t(spark, sf_dir, "documents"), keep), "units")
-    return rows, stored(load.zipf_hundredths(rows), "zipf"), load.in_hundredths(D.profiles(spark, ZIPF_SHIFT))
+    return rows, stored(load.zipf_hundredths(rows), "zipf"), stored(load.in_hundredths(D.profiles(spark, ZIPF_SHIFT)), "readers")
 
 
 def _loads(rows: DataFrame, zipf: DataFrame, readers: DataFrame, *by: str) -> DataFrame:

@@ -9,6 +9,7 @@ from math import floor
 
 from pyspark.sql import functions as F
 
+from lexispan import plans
 from lexispan.operators import load
 from lexispan.operators.detectors import PROFILES
 
@@ -88,3 +89,10 @@ def test_few_groups_meet_many_readers_in_many_tasks(spark):
     dealt = load.loads(index, readers, ("source",), few_groups=True).withColumn("task", F.spark_partition_id()).collect()
     assert len({r.task for r in dealt}) > 8
     assert sorted(tuple(r)[:-1] for r in dealt) == sorted(map(tuple, load.loads(index, readers, ("source",)).collect()))
+
+
+def test_few_readers_are_broadcast(spark):
+    """A Cartesian product would make the groups anew for every part of the readers."""
+    for name in ("load_by_document", "triggers_by_kind", "load_vs_quality"):
+        plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" in plan
