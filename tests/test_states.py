@@ -9,6 +9,7 @@ from lexispan.operators import battery as B
 from lexispan.operators import pronounce, protect, style
 from lexispan.operators import readers as R
 from lexispan.operators import states as S
+from lexispan.plans import rules
 from lexispan.sources import documents, pages
 from lexispan.streaming import jobs
 
@@ -222,3 +223,21 @@ def test_streams(spark, tmp_path):
     assert len(stream(spark, tmp_path, rows, schema, jobs.once, "single")) == 10
     done = stream(spark, tmp_path, [(1, 1, 5, "start", at(0)), (2, 1, 5, "finish", at(9)), (3, 1, 6, "finish", at(1))], schema, jobs.finished, "ends")
     assert [(r.item_id, r.finished_at.second) for r in done] == [(5, 9)]
+
+
+def test_words_by_author_stand_for_the_texts(spark):
+    posts = frame(spark, "author long, text string", (1, "We SAW extraordinary Things. We saw things!"), (1, "things"), (2, "\u0130ce ice"))
+    words = style.author_words(posts)
+    assert [tuple(r) for r in words.filter("author = 1").orderBy("lower").collect()] == [(1, "extraordinary", 1, 13, 1, 0), (1, "saw", 2, 6, 0, 1), (1, "things", 3, 18, 0, 0), (1, "we", 2, 4, 0, 0)]
+    zipf = frame(spark, "lower string, zipf double", ("things", 3.0), ("saw", 5.0), ("we", 7.0))
+    assert style.style_report(posts, words).orderBy("author").collect() == style.style_report(posts).orderBy("author").collect()
+    report = style.style_report(posts, words).orderBy("author").first()
+    assert (report.word_length, report.long_word_rate, report.first_person, report.capitals, report.type_token) == (5.125, 0.125, 25.0, 12.5, 0.5)
+    assert [tuple(r) for r in style.word_frequency(posts, zipf, words).orderBy("author").collect()] == [(1, 5.0, 0.4286), (2, 4.6, 0.0)]
+
+
+def test_learned_readers_write_no_tokens(spark, monkeypatch):
+    kinds, store = [], rules.stored
+    monkeypatch.setattr(rules, "stored", lambda df, kind="table": (kinds.append(kind), store(df, kind))[1])
+    assert rules.learned_readers(spark, "/root/testdata/sf0.001").count() > 0
+    assert "words" in kinds and "tagged" not in kinds
