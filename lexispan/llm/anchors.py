@@ -6,6 +6,8 @@ Windows of one anchor are consecutive; they make a cell, the stretch of text fro
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 GRAM = 48
@@ -17,15 +19,14 @@ _POSITION = np.uint64((1 << 20) - 1)
 _VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 
 
+@cache
 def _powers(base: int) -> np.ndarray:
+    """Made where texts are hashed: the driver, which imports this too, doesn't hold them."""
     out = np.full(LONGEST, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-_UP, _DOWN = _powers(_MULTIPLIER), _powers(_INVERSE)
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -38,14 +39,14 @@ class Hashes:
     def __init__(self, data: bytes):
         raw = np.frombuffer(data, np.uint8)
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_VALUES[raw] * _UP[: len(raw)], out=self.sums[1:])
+        np.cumsum(_VALUES[raw] * _powers(_MULTIPLIER)[: len(raw)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * _DOWN[start])
+        return _mixed((self.sums[end] - self.sums[start]) * _powers(_INVERSE)[start])
 
     def every(self, length: int) -> np.ndarray:
         n = len(self.sums) - length
-        return _mixed((self.sums[length:] - self.sums[:n]) * _DOWN[:n])
+        return _mixed((self.sums[length:] - self.sums[:n]) * _powers(_INVERSE)[:n])
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:

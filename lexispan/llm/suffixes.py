@@ -11,7 +11,8 @@ grams' cells are put together, windows both of whose halves come twice are cut o
 A gram with too many different cells for one task is made longer: half of a cell's windows reach so far to the left of
 the gram, the others so far to the right, so each cell becomes two under longer grams, equal windows staying
 together. Equal cells are counted again, and what is still too much under one gram is made longer again, until a
-gram is a whole window. No step holds more rows than two for each cell.
+gram is a whole window. No step holds more rows than two for each cell. The ranges that a step finds are written,
+so plans don't grow with the number of rounds and what a step has read is removed.
 
 Defined results: a null or short text has no windows and keeps all its bytes; an empty text's digest is that of no
 bytes; rows are told apart by doc_id and text (a 64-bit hash of both), and equal rows are copies of each other; null doc_ids are carried
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, Hashes, cells, first_anchor
-from .common import joined_by_count, mapped, written
+from .common import discard, joined_by_count, mapped, written
 from .grouping import suffix_array
 
 LENGTH = 200
@@ -114,10 +115,13 @@ def disentangled(held: DataFrame, length: int, hot_cells: int) -> tuple[DataFram
         parts = written(lengthened(held.dropDuplicates(["gram", "key", "lo"]), length), "parts")
         counts = parts.groupBy("gram", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("single").alias("alone"), F.min_by(F.struct(*names[2:]), F.struct("key", "lo")).alias("one"))
         counts = written(counts, "counts")
-        ranges.append(joined_by_count(parts.select("gram", "cell", "key", "lo", "hi", "single"), counts.filter("n > 1").select("gram", "cell", "n"), ["gram", "cell"]).filter("single").select("key", "lo", "hi"))
+        twice = joined_by_count(parts.select("gram", "cell", "key", "lo", "hi", "single"), counts.filter("n > 1").select("gram", "cell", "n"), ["gram", "cell"])
+        ranges.append(written(twice.filter("single").select("key", "lo", "hi"), "ranges"))
         one = counts.select("gram", "cell", *[F.col(f"one.{c}") for c in names[2:]], (F.col("alone") & (F.col("n") == 1)).alias("open")).drop("single").withColumnRenamed("open", "single")
         by_gram = one.groupBy("gram").agg(F.count(F.lit(1)).alias("cells"), F.max("single").alias("any")).filter("cells > 1 and any").select("gram", "cells")
+        by_gram = written(by_gram, "mixed")
         left = written(joined_by_count(one, by_gram, ["gram"], "cells"), "cells")
+        discard(parts, counts, by_gram)
         cold.append(left.filter(F.col("cells") <= hot_cells).select(*names))
         held = left.filter(F.col("cells") > hot_cells).select(*names)
     none = held.filter("false")
@@ -197,15 +201,20 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, hot_cells: int = HOT_
     anchors = written(anchored(texts, length), "anchors")
     often = written(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "grams")
     shared = written(joined_by_count(anchors, often, ["gram"]).drop("n"), "shared")
+    discard(anchors, often)
     by_cell = shared.groupBy("gram", "cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo", "hi")).alias("one"))
     by_cell = written(by_cell, "cells")
-    whole = joined_by_count(shared, by_cell.filter("n > 1").select("gram", "cell", "n"), ["gram", "cell"]).select("key", "lo", "hi")
+    whole = joined_by_count(shared, by_cell.filter("n > 1").select("gram", "cell", "n"), ["gram", "cell"])
+    whole = written(whole.select("key", "lo", "hi"), "ranges")
+    discard(shared)
     # a gram's cells matter where there are different ones and a single one among them
     mixed = by_cell.groupBy("gram").agg(F.count(F.lit(1)).alias("cells"), F.min("n").alias("least")).filter("cells > 1 and least = 1").drop("least")
-    wanted = joined_by_count(by_cell, written(mixed, "mixed"), ["gram"], "cells").select("gram", "cell", "one.*", (F.col("n") == 1).alias("single"), (F.col("cells") > hot_cells).alias("hot"))
+    mixed = written(mixed, "mixed")
+    wanted = joined_by_count(by_cell, mixed, ["gram"], "cells").select("gram", "cell", "one.*", (F.col("n") == 1).alias("single"), (F.col("cells") > hot_cells).alias("hot"))
     held = written(fetched(texts, wanted, length), "held")
+    discard(by_cell, mixed)
     split, cold = disentangled(held.filter("at is not null"), length, hot_cells)
-    sorted_ones = sorted_shards(held.filter("at is null").unionByName(cold), length)
+    sorted_ones = written(sorted_shards(held.filter("at is null").unionByName(cold), length), "ranges")
     found = whole.unionByName(split).unionByName(sorted_ones)
     # equal rows name a range once each: a set holds it once for all of them
     return found.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -339,6 +340,20 @@ def test_repeats_of_many_equal_rows_and_of_a_hot_gram(spark):
     assert got == Counter(removed(texts, 200))
 
 
+def test_repeats_are_planned_in_pieces(spark):
+    rng = random.Random(22)
+    passage = words_of(rng, 60)
+    texts = [f"{words_of(rng, 12)} {passage} {words_of(rng, 12)}" for _ in range(40)]
+    common.scratch_dir(spark)
+    before = set(os.listdir(common.scratch_dir(spark).removeprefix("file://")))
+    found = suffixes.repeated_ranges(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), 200, hot_cells=2)
+    # the driver's plan holds written ranges only, however many rounds there were, and what was read for them is gone
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    left = {f.split("-")[0] for f in set(os.listdir(common.scratch_dir(spark).removeprefix("file://"))) - before}
+    assert left == {"ranges", "held", "cells"}
+    assert found.count() == len(texts)
+
+
 def test_dropped_repeats_leave_whole_characters(spark, rows):
     frame = docs(spark, rows)
     got = suffixes.drop_repeats(frame, 200)
