@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lexispan.functions import text as X
 from lexispan.operators import detectors, protect, service, tokens
 from lexispan.sources import pages
+from lexispan.sources.scratch import stored
 from lexispan.streaming import jobs
 
 
@@ -82,6 +83,15 @@ def test_hits_of_readers_are_not_shuffled(spark):
     assert plan.count("Exchange hashpartitioning") <= 1
 
 
+def test_readers_of_equal_words_are_looked_up_once(spark):
+    rows = spark.createDataFrame([(1, "en", "An owl. The owl saw an elk."), (2, "en", "No elk"), (3, "en", "fox")], "doc_id long, lang string, text string")
+    own = spark.createDataFrame([("a", "owl"), ("a", "elk"), ("b", "elk"), ("c", "elk"), ("d", "elk"), ("d", "owl"), ("e", "cow")], "reader string, lower string")
+    classes = stored(detectors.reader_classes(own))
+    assert sorted((r.words, sorted(r.readers)) for r in classes.collect()) == [(["cow"], ["e"]), (["elk"], ["b", "c"]), (["elk", "owl"], ["a", "d"])]
+    counts = detectors.word_counts(tokens.word_table(rows))
+    assert sorted(detectors.personal_by_class(counts, classes).collect()) == sorted(detectors.personal(counts, own).collect())
+
+
 def test_ambiguity(spark):
     words = tokens.word_table(docs(spark, "They went to wind it. Outside the wind blows."))
     assert [(r.lower, r.role, r.sent_index, r.p_sent) for r in detectors.ambiguity(words).collect()] == [("wind", "NOUN", 1, 0)]
